@@ -47,7 +47,7 @@ j4 AS (SELECT fut_no, round_no, j FROM j3 WHERE json_valid(j) AND json_type(j) =
 
 _KEYED = _STATS.replace("{kind}", "OBJECT") + """,
 k AS (SELECT fut_no, round_no, unnest(map_entries(j::JSON::MAP(VARCHAR, JSON))) AS e FROM j4),
-v AS (SELECT fut_no, round_no, e.key AS test_id, CASE WHEN json_type(e.value) = 'OBJECT' THEN [e.value] WHEN json_type(e.value) = 'ARRAY' THEN e.value::JSON[] END AS l FROM k),
+v AS (SELECT fut_no, round_no, e.key AS test_id, CASE WHEN json_type(e.value) = 'OBJECT' THEN [e.value] ELSE TRY_CAST(e.value AS JSON[]) END AS l FROM k),
 o AS (SELECT fut_no, round_no, test_id, unnest(l) AS o, unnest(range(len(l))) AS n FROM v)"""
 
 _LISTED = _STATS.replace("{kind}", "ARRAY") + """,
