@@ -1,13 +1,15 @@
 """Queries of the operators over training text, with SQL where it can express them."""
 
 from ..session import load
-from . import bpe, leaks, pairs
+from . import bpe, encoding, leaks, pairs
 
 QUERIES = {
     "p1_found": lambda s, d: pairs.broken_pairs(load(s, d, "spec_tasks")),
     "p8_ids": lambda s, d: bpe.encode_corpus(load(s, d, "documents")),
     "p8_decoded": lambda s, d: bpe.decode_corpus(bpe.encode_corpus(load(s, d, "documents"))),
     "p9_found": lambda s, d: leaks.leaked_items(load(s, d, "documents"), load(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
+    "p10_found": lambda s, d: encoding.garbled_texts(load(s, d, "documents")).select("doc_id").distinct(),
+    "p10_restored": lambda s, d: encoding.garbled_texts(load(s, d, "documents")),
     "p9_leaks": lambda s, d: leaks.leaked_items(load(s, d, "documents"), load(s, d, "eval_items")),
 }
 
