@@ -1,10 +1,13 @@
 """Queries of the operators over training text, with SQL where it can express them."""
 
 from ..session import load
-from . import bpe, encoding, leaks, pairs
+from . import bpe, encoding, leaks, origin, pairs
 
 QUERIES = {
     "p1_found": lambda s, d: pairs.broken_pairs(load(s, d, "spec_tasks")),
+    "p6_found": lambda s, d: origin.origin(load(s, d, "files")).where("origin <> 'hand_written'").select("file_no").distinct(),
+    "p6_origin": lambda s, d: origin.origin(load(s, d, "files")),
+    "p6_hand_written": lambda s, d: origin.hand_written(load(s, d, "files")),
     "p8_ids": lambda s, d: bpe.encode_corpus(load(s, d, "documents")),
     "p8_decoded": lambda s, d: bpe.decode_corpus(bpe.encode_corpus(load(s, d, "documents"))),
     "p9_found": lambda s, d: leaks.leaked_items(load(s, d, "documents"), load(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
