@@ -1,10 +1,12 @@
 """Queries of the operators over training text, with SQL where it can express them."""
 
 from ..session import load
-from . import bpe, credentials, encoding, leaks, origin, pairs
+from . import bpe, credentials, documented, encoding, leaks, origin, pairs
 
 QUERIES = {
     "p1_found": lambda s, d: pairs.broken_pairs(load(s, d, "spec_tasks")),
+    "p4_found": lambda s, d: documented.documented(load(s, d, "code_functions"), load(s, d, "code_methods")).select("unit_no").distinct(),
+    "p4_pairs": lambda s, d: documented.documented(load(s, d, "code_functions"), load(s, d, "code_methods")),
     "p5_found": lambda s, d: credentials.credentials(load(s, d, "files"), load(s, d, "code_functions"), load(s, d, "code_methods")),
     "p5_redacted": lambda s, d: credentials.redacted(load(s, d, "files"), load(s, d, "code_functions"), load(s, d, "code_methods")),
     "p6_found": lambda s, d: origin.origin(load(s, d, "files")).where("origin <> 'hand_written'").select("file_no").distinct(),
