@@ -1,10 +1,13 @@
 """Queries of the operators over training text, with SQL where it can express them."""
 
 from ..session import load
-from . import bpe, credentials, documented, encoding, leaks, origin, pairs
+from . import bpe, credentials, documented, encoding, leaks, origin, pairs, syntax
 
 QUERIES = {
     "p1_found": lambda s, d: pairs.broken_pairs(load(s, d, "spec_tasks")),
+    "p2_found": lambda s, d: syntax.syntax_errors(load(s, d, "files")).select("file_no").distinct(),
+    "p2_errors": lambda s, d: syntax.syntax_errors(load(s, d, "files")),
+    "p2_rates": lambda s, d: syntax.error_rates(load(s, d, "files")),
     "p4_found": lambda s, d: documented.documented(load(s, d, "code_functions"), load(s, d, "code_methods")).select("unit_no").distinct(),
     "p4_pairs": lambda s, d: documented.documented(load(s, d, "code_functions"), load(s, d, "code_methods")),
     "p5_found": lambda s, d: credentials.credentials(load(s, d, "files"), load(s, d, "code_functions"), load(s, d, "code_methods")),
