@@ -49,7 +49,9 @@ def resolved(files: DataFrame) -> DataFrame:
     and the top; relative ones their own directory. A module file goes before a package's
     __init__.py, and "from p import m" before p itself where m is a module."""
     rows = extract.imports(files).join(packages(files), "file_no")
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dir", directory(F.col("rel_path")))
+    # the target depends on these alone; a generated row number could differ when a lost partition is computed again
+    row = F.concat_ws("\x1f", "file_no", "level", F.coalesce("module", F.lit("\x00")), F.coalesce("name", F.lit("\x00")))
+    rows = rows.withColumn("row", row).withColumn("dir", directory(F.col("rel_path")))
     parts = F.split("dir", "/")
     depth = F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(parts))
     module = F.replace(F.coalesce("module", F.lit("")), F.lit("."), F.lit("/"))
