@@ -24,18 +24,17 @@ from .stopwords import vote
 # Lines that stand in for an answer.
 STAND_INS = ("your code here", "your test here", "your tests here", "add your code here", "write your code here", "insert code here", "code goes here", "test goes here", "tests go here", "todo", "fixme", "tbd", "xxx", "pass", "n a", "na", "none", "null", "nil", "empty", "no output", "no response", "no answer", "placeholder", "to be done", "to be written", "to do", "write test here", "write tests here", "todo write test", "todo write tests", "todo add test", "todo add tests", "todo implement", "not implemented", "notimplemented", "insert test here", "lorem ipsum", "answer", "response", "code", "test", "coming soon", "work in progress", "wip")
 
-# Parts of phrases with which a task is declined, by language.
+# Parts of phrases with which a task is declined, by language. A response without
+# any test that denies something declines, so plain negations are among them.
 REFUSALS = (
-    "i can't", "i cannot", "i can not", "i can’t", "i won't", "i will not", "i won’t", "i'm unable", "i am unable", "i’m unable", "i'm not able", "i am not able", "i’m not able", "i am not allowed", "i'm not allowed", "i’m not allowed",
-    "i must refuse", "i must decline", "i have to decline", "i have to refuse", "i need to decline", "i refuse", "i decline", "i would rather not", "i'd rather not", "i’d rather not", "i would prefer not", "i'd prefer not", "do not let me", "don't let me", "don’t let me",
-    "does not allow me", "do not allow me", "don't allow me", "don’t allow me", "do not permit me", "not possible for me", "impossible for me", "as a language model", "as an ai", "against my policy", "against my guidelines", "my guidelines", "can't help with", "cannot help with", "can't assist", "cannot assist", "unable to help", "unable to assist", "not comfortable", "i apologize but", "i'm sorry but", "i am sorry but", "i’m sorry but", "can't comply", "cannot comply", "unable to comply", "can't fulfill", "cannot fulfill", "will not attempt", "am not going to", "not able to provide", "cannot provide", "can't provide", "unable to provide", "not enough information",
-    "kann ich nicht", "ich kann nicht", "ich kann dir nicht", "ich kann ihnen nicht", "ich kann dabei nicht", "kann dabei nicht", "kann diese anfrage nicht", "nicht helfen", "nicht behilflich", "ich darf nicht", "ich darf", "muss ich ablehnen", "ich muss ablehnen", "bin nicht in der lage", "tut mir leid",
-    "je ne peux pas", "je ne suis pas en mesure", "je ne suis pas autorisé", "je dois refuser", "je dois décliner", "ne peux pas vous aider", "impossible de vous aider", "je refuse", "désolé",
-    "no puedo ayudar", "no puedo", "no me es posible", "no estoy autorizado", "debo rechazar", "tengo que rechazar", "lo siento",
-    "não posso", "não consigo", "não me é possível", "não estou autorizado", "devo recusar", "tenho de recusar", "desculpe", "lamento",
-    "не могу", "не имею права", "вынужден отказать", "вынуждена отказать", "мне нельзя", "к сожалению", "извините", "не в состоянии",
+    "can't", "cannot", "can not", "can’t", "won't", "will not", "won’t", "not", "don't", "don’t", "unable", "refuse", "decline", "rather not", "as a language model", "as an ai", "against my policy", "against my guidelines", "my guidelines", "impossible", "not enough information",
+    "nicht", "kein", "keine", "keinen", "keinem", "keiner", "ablehnen", "lehne", "verweigern", "weigere",
+    "ne", "n'est", "refuser", "refuse de", "décliner", "décline", "impossible de",
+    "no", "rechazar", "rechazo", "niego", "declinar", "imposible",
+    "não", "recusar", "recuso", "declinar", "impossível",
+    "не", "нельзя", "отказать", "отказываюсь", "вынужден", "вынуждена", "невозможно",
 )
-REFUSALS_CJK = ("无法协助", "无法帮助", "不能协助", "不能帮助", "无法完成", "无法提供", "不能提供", "抱歉", "对不起", "拒绝", "我不能", "我无法", "お応えできません", "お答えできません", "お手伝いできません", "対応できません", "できかねます", "申し訳ありません", "申し訳ございません", "お断り")
+REFUSALS_CJK = ("无法", "不能", "不会", "不便", "不可", "不允许", "拒绝", "恕", "未经", "ません", "できかね", "しかね", "お断り", "できない", "控え")
 
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿ﾠ\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 FENCE = re.compile(r"^\s*(?:>\s*)*(?:```+|~~~+)\s*[\w+#.-]*\s*$")
