@@ -25,6 +25,9 @@ from ..session import spread
 
 #: Bits a character that a value in a well-known format must have at least.
 KNOWN_BITS = 2.8
+#: Bits a character that a random value may fall short of what its length and alphabet lead to
+#: expect: of 40 random letters and digits fewer than one in ten thousand falls shorter.
+SLACK = 1.3
 #: What stands in for a redacted value.
 MASK = "REDACTED"
 
@@ -44,8 +47,11 @@ PREFIX = re.compile(r"^(?:gh[opsur]_|github_pat_|glpat-|AKIA|ASIA|AIza|xox[abpor
 HINTS = ("passw", "passphrase", "pass ", "pass=", "pass:", "pass\"", "pass'", "_pass", "pwd", "_pw", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "signing_key", "_key", "-key", "key\"", "key'", "key =", "key=", "key:", "cred", "auth", "bearer", "login", "://", "private key", " -u ", "bot ", "bot=", "jwt")
 # What stand-ins hold.
 STAND_IN = re.compile(
-    r"(?i)\$\{|\$\(|\{\{|\}\}|%\(|<[^<>]*>|^\$|^%[^%]+%$|^\{[^{}]*\}$|^(.)\1+$|x{5,}|\*{3,}|\.{3}|…|your[_ -]?|my[_-]?(?:secret|token|password|key)|example|change[_-]?me|placeholder|dummy|sample|fake|mock|redacted|insert|replace|todo|fill[_ ]?in|none$|null$|undefined|not[_-]?set|^env[:.]|vault|process\.env|os\.environ|getenv|secrets\.|^test(?:ing)?$|12345678|abcdefgh|default$"
+    r"(?i)\$\{|\$\(|\{\{|\}\}|%\(|<[^<>]*>|^\$\w|^%[^%]+%$|^\{[^{}]*\}$|^(.)\1+$|x{5,}|\*{3,}|\.{3}|…|process\.env|os\.environ|getenv|secrets\.|^[\w.]+\(|12345678|abcdefgh"
+    r"|(?<![a-z])(?:your|example|change[_-]?me|placeholder|dummy|sample|fake|mock|redacted|insert|replace|todo|fill[_ ]?in|undefined|not[_-]?set|vault|my[_-](?:secret|token|password|key)|(?:secret|token|password|key)[_-]here)(?![a-z])"
+    r"|^(?:none|null|nil|test|testing|default|secret|password|token)$|^env[:.]"
 )
+PATH = re.compile(r"^(?:~|\.{1,2})?(?:/[A-Za-z.][a-z_.-]*\d{0,3})+/?$")
 HEX = re.compile(r"^(?:0x)?[0-9a-f]+$|^(?:0x)?[0-9A-F]+$")
 UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 PUBLIC = re.compile(r"^(?:ssh-(?:rsa|ed25519|dss)|ecdsa-sha2-\S+)\s|^(?:sha\d+|md5)[:-]|^data:|^W/|^AAAA[BCE]3Nza|^-----BEGIN (?:PUBLIC|CERT)")
@@ -84,7 +90,7 @@ def random_looking(value: str, strict: float = 1.0) -> bool:
     """Entropy above the threshold for the value's length and alphabet. n characters drawn from
     an alphabet of a bits show about min(a, log2(n)) bits, less a little for repeats."""
     expected = min(alphabet(value), math.log2(max(2, len(value))))
-    return entropy(value) >= strict * (expected - 0.75)
+    return entropy(value) >= strict * (expected - SLACK)
 
 
 def name_kind(name: str) -> str | None:
@@ -107,15 +113,15 @@ def is_secret(name: str, value: str) -> bool:
     if kind is None or UUID.match(value) and kind == "key":
         return False
     letters, digits = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
-    if "://" in value or value.startswith(("/", "./", "~/")) and value.count("/") > 1 and not random_looking(value, 1.1):
+    if "://" in value or PATH.match(value):
         return False
     if re.fullmatch(r"[A-Z][A-Z0-9]*(?:[_-][A-Z0-9]+)+|[a-z]+(?:[/_.-][a-z]+)+|[A-Z][a-z]*(?:-[A-Z][a-z]*)+|[a-z_]+\(.*\)?", value):
         return False  # the name of a secret, a header, a lookup
+    symbols = any(c in "!#$%&*+=?@^~" for c in value)
     if kind == "key":
-        return len(value) >= 16 and letters and digits and random_looking(value)
+        return letters and digits and (symbols or len(value) >= 16 and random_looking(value))
     if HEX.match(value):
         return len(value) >= 16 and letters and digits and random_looking(value)
-    symbols = any(not c.isalnum() and c not in "_.-/" for c in value)
     if kind == "password" and letters and (digits or symbols):
         # words, a symbol and digits count as a password; a lone identifier with a number doesn't
         return symbols or len(value) >= 12 or random_looking(value)
