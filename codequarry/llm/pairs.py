@@ -284,9 +284,9 @@ def is_truncated(text: str) -> bool:
     if any(code_cut(c) for c in code):
         return True
     tail = blank(text).split("\n")[-1].rstrip()
-    if prose and blank(prose[-1]).split("\n")[-1].rstrip() == tail and tail:
-        return not tail.endswith(PROSE_END)
-    return bool(prose) and not code and not has_test(text) and not is_refusal(text)
+    if prose and tail and blank(prose[-1]).split("\n")[-1].rstrip() == tail and not tail.endswith(PROSE_END):
+        return True
+    return not code and not has_test(text) and not is_refusal(text)
 
 
 def remarks(text: str, instruction: str = "") -> str:
