@@ -72,6 +72,11 @@ def gen_time(gen_date: Column | str) -> Column:
     return F.try_to_timestamp(_c(gen_date), F.lit("yyyyMMdd_HHmmss"))
 
 
+def gen_date(time: Column | str | None = None) -> Column:
+    """yyyyMMdd_HHmmss text of a time, of now by default."""
+    return F.date_format(F.current_timestamp() if time is None else _c(time), "yyyyMMdd_HHmmss")
+
+
 def elide(text: Column | str, head: int = 90, tail: int = 90) -> Column:
     """Head and tail of a text longer than both together."""
     c = _c(text)

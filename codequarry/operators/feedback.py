@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rewrite import without_tests
 from ..session import cut_lineage
 from . import evaluate
 
@@ -104,3 +106,18 @@ def oversample(seeds: DataFrame, generate: Callable[[DataFrame, int], DataFrame]
         state = cut_lineage(state.join(made, "unit_id", "left").select("unit_id", F.lit(number).cast("long").alias("round_no"), F.map_concat("tests", one).alias("tests")))
         out = out.unionByName(state)
     return out
+
+
+def without_failures(tests: DataFrame, failures: DataFrame) -> DataFrame:
+    """tests (fut_no, round_no, test_id, code) without the test methods that failed.
+
+    failures: fut_no, round_no, test_id, test (the method). Codes that don't parse stay as they are.
+    """
+    gone = failures.where("test is not null").groupBy("fut_no", "round_no", "test_id").agg(F.array_sort(F.collect_set("test")).alias("failed"))
+
+    @F.pandas_udf("string")
+    def cut(code: pd.Series, failed: pd.Series) -> pd.Series:
+        return pd.Series([c if c is None or f is None else without_tests(c, list(f)) for c, f in zip(code, failed)])
+
+    joined = tests.join(gone, ["fut_no", "round_no", "test_id"], "left")
+    return joined.select("fut_no", "round_no", "test_id", F.when(F.col("failed").isNull(), F.col("code")).otherwise(cut("code", "failed")).alias("code"))

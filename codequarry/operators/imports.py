@@ -123,3 +123,30 @@ def file_calls(files: DataFrame) -> DataFrame:
     best = tries.groupBy("repo_id", "caller", "callee", "is_builtin").agg(F.min_by("unit_id", F.when(F.col("hit"), F.col("prio"))).alias("unit_id"))
     name = F.coalesce("unit_id", F.when(F.col("is_builtin"), F.concat(F.lit("<builtin>."), "callee")), "callee")
     return best.select("repo_id", "caller", name.alias("callee"), (F.col("unit_id").isNotNull() | F.col("is_builtin")).alias("resolved")).distinct()
+
+
+def local_paths(files: DataFrame, identifiers: DataFrame, column: str = "identifier") -> DataFrame:
+    """repo_id, identifier, path: the longest prefix of a dotted identifier that is a module file or
+    a package of the repository; null where none is. Dots in directory names are tried too."""
+    known = files.select("repo_id", F.col("rel_path").alias("path")).distinct()
+    # a directory's own identifier form decides, so names with dots need no search
+    forms = known.select("repo_id", "path", F.replace(F.regexp_replace(F.regexp_replace("path", r"/__init__\.py$", ""), r"\.py$", ""), F.lit("/"), F.lit(".")).alias("prefix"))
+    forms = forms.groupBy("repo_id", "prefix").agg(F.min_by("path", F.struct(F.length("path"), "path")).alias("path"))
+    ids = identifiers.select("repo_id", F.col(column).alias("identifier")).where("identifier is not null").distinct()
+    parts = F.split("identifier", r"\.")
+    tries = ids.select("repo_id", "identifier", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("prefix"))
+    best = tries.join(forms, ["repo_id", "prefix"]).groupBy("repo_id", "identifier").agg(F.max_by("path", F.length("prefix")).alias("path"))
+    return ids.join(best, ["repo_id", "identifier"], "left")
+
+
+def id_types(files: DataFrame, identifiers: DataFrame, column: str = "identifier") -> DataFrame:
+    """repo_id, identifier, elem_type: BUILTIN by its prefix, FUNCTION, METHOD or CLASS by a
+    definition, API where the repository has no file or directory of the first segment, else OTHER."""
+    ids = identifiers.select("repo_id", F.col(column).alias("identifier")).where("identifier is not null").distinct()
+    units = extract.all_units(files)
+    kinds = units.select("repo_id", F.col("unit_id").alias("identifier"), F.upper("unit_kind").alias("kind")).union(units.where("class_id is not null").select("repo_id", F.col("class_id").alias("identifier"), F.lit("CLASS")))
+    kinds = kinds.groupBy("repo_id", "identifier").agg(F.min("kind").alias("kind"))
+    tops = files.select("repo_id", F.regexp_replace(F.element_at(F.split("rel_path", "/"), 1), r"\.py$", "").alias("top")).distinct().withColumn("is_own", F.lit(True))
+    out = ids.withColumn("top", F.element_at(F.split("identifier", r"\."), 1)).join(kinds, ["repo_id", "identifier"], "left").join(tops, ["repo_id", "top"], "left")
+    kind = F.when(F.col("identifier").startswith("<builtin>"), "BUILTIN").when(F.col("kind").isNotNull(), F.col("kind")).when(F.col("is_own").isNull(), "API").otherwise("OTHER")
+    return out.select("repo_id", "identifier", kind.alias("elem_type"))

@@ -113,8 +113,12 @@ def coverage_marks(s, d):
     return completions.annotated(f)
 
 
+def tests_without_failures(s, d):
+    return feedback.without_failures(nested.tests(_fut(s, d)), nested.errors(_fut(s, d)))
+
+
 QUERIES = {
-    "eval_overall": lambda s, d: evaluate.report(_fut(s, d)), "eval_units": eval_units, "eval_pass_ratio": eval_pass_ratio, "eval_coverage": eval_coverage, "eval_error_types": eval_error_types,
+    "tests_without_failures": tests_without_failures, "eval_overall": lambda s, d: evaluate.report(_fut(s, d)), "eval_units": eval_units, "eval_pass_ratio": eval_pass_ratio, "eval_coverage": eval_coverage, "eval_error_types": eval_error_types,
     "history_latest": history_latest, "history_errors": history_errors, "history_passing": history_passing, "genexec_status": genexec_status, "genexec_progress": genexec_progress, "genexec_worklist": genexec_worklist,
     "oversample_snapshots": oversample_snapshots, "code_blocks": code_blocks, "chat_turns": chat_turns, "chat_update": chat_update, "cache_misses": cache_misses, "captured_types": captured_types, "example_calls": example_calls,
     "exec_payloads": exec_payloads, "init_errors": init_errors, "coverage_marks": coverage_marks,

@@ -138,8 +138,18 @@ def context_budget(s, d):
     return kept.select("unit_id", "ord", "tokens", "over_budget")
 
 
+def local_paths(s, d):
+    ids_ = load(s, d, "code_functions").select("repo_id", F.col("function_id.identifier").alias("identifier"))
+    return imports.local_paths(_files(s, d), ids_)
+
+
+def id_types(s, d):
+    ids_ = _graphs(s, d).select("repo_id", F.explode(F.array_union(F.map_keys("graph"), F.flatten(F.map_values("graph")))).alias("identifier"))
+    return imports.id_types(_files(s, d), ids_)
+
+
 QUERIES = {
-    "identifiers": identifiers, "repo_ids": repo_ids, "hidden_files": hidden_files, "units_union": units_union, "units_topk": units_topk, "unit_lines": unit_lines, "name_filter": name_filter, "decorator_filter": decorator_filter,
+    "local_paths": local_paths, "id_types": id_types, "identifiers": identifiers, "repo_ids": repo_ids, "hidden_files": hidden_files, "units_union": units_union, "units_topk": units_topk, "unit_lines": unit_lines, "name_filter": name_filter, "decorator_filter": decorator_filter,
     "callee_filter": callee_filter, "elided_code": elided_code, "array_summaries": array_summaries, "batches": batches, "image_recipe": image_recipe,
     "graph_edges": lambda s, d: callgraph.edges(_graphs(s, d)), "graph_nodes": lambda s, d: callgraph.nodes(_graphs(s, d)), "graph_typed_callees": lambda s, d: callgraph.typed_callees(_graphs(s, d)),
     "graph_class_methods": lambda s, d: callgraph.class_methods(_graphs(s, d)), "graph_class_callees": lambda s, d: callgraph.callees_of_classes(_graphs(s, d)), "graph_roundtrip": graph_roundtrip, "graph_merge": graph_merge,
@@ -174,6 +184,10 @@ _KNOWN = ", k AS (SELECT DISTINCT module_id.identifier AS m FROM files WHERE mod
 _CODE = "SELECT DISTINCT unit_no, function_code AS c FROM code_functions WHERE function_code IS NOT NULL"
 
 SQL = {
+    "local_paths": """WITH f AS (SELECT DISTINCT repo_id, rel_path AS path, replace(regexp_replace(regexp_replace(rel_path, '/__init__\\.py$', ''), '\\.py$', ''), '/', '.') AS prefix FROM files),
+ b AS (SELECT repo_id, prefix, path FROM f QUALIFY row_number() OVER (PARTITION BY repo_id, prefix ORDER BY length(path), path) = 1), i AS (SELECT DISTINCT repo_id, function_id.identifier AS identifier FROM code_functions WHERE function_id.identifier IS NOT NULL),
+ m AS (SELECT i.repo_id, i.identifier, b.path FROM i JOIN b ON b.repo_id = i.repo_id AND (i.identifier = b.prefix OR starts_with(i.identifier, b.prefix || '.')) QUALIFY row_number() OVER (PARTITION BY i.repo_id, i.identifier ORDER BY length(b.prefix) DESC) = 1)
+ SELECT i.repo_id, i.identifier, m.path FROM i LEFT JOIN m ON m.repo_id = i.repo_id AND m.identifier = i.identifier""",
     "identifiers": f"WITH f AS (SELECT DISTINCT file_no, {_IDENT} AS module_id FROM files) SELECT file_no, module_id, {_PARENT.format('module_id', 1)} AS parent, {_PARENT.format('module_id', 2)} AS grandparent, string_split(module_id, '.')[-1] AS name, replace(module_id, '.', '/') || '.py' AS path FROM f",
     "repo_ids": """SELECT repo_id, CASE WHEN repo_name IS NOT NULL THEN coalesce(repo_org, 'none') || '___' || repo_name ELSE '' END AS from_url, 'LOCAL___' || string_split(regexp_replace(local_repo_path, '/+$', ''), '/')[-1] AS from_local,
  CASE WHEN len(string_split(repo_id, '___')) = 2 THEN string_split(repo_id, '___')[1] ELSE repo_id END AS org, CASE WHEN len(string_split(repo_id, '___')) = 2 THEN string_split(repo_id, '___')[2] ELSE repo_id END AS name, 'graphs/' || repo_id || '_cgraph.json' AS graph_path FROM repos""",

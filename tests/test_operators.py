@@ -170,3 +170,19 @@ def test_callgraph(spark):
     got = {r.repo_id: (r.graph, r.id2type) for r in callgraph.from_json(texts).collect()}
     assert got["r"] == ({"a": ["b"]}, None) and got["s"] == ({"c": []}, {"c": "API"})
     assert callgraph.without_empty(g).where("graph_no = 1").first().graph.keys() == {"m.A", "m.A.run"}
+
+
+def test_paths_types_and_definitions(repo, spark):
+    ids = spark.createDataFrame([("r", "module.utils.Utils.compute"), ("r", "module.utils.Utils"), ("r", "test.foo"), ("r", "numpy.zeros"), ("r", "<builtin>.print"), ("r", "module.nothing"), ("r", None)], "repo_id string, identifier string")
+    got = {r.identifier: r.path for r in imports.local_paths(repo, ids).collect()}
+    assert got["module.utils.Utils.compute"] == "module/utils.py" and got["module.nothing"] == "module/__init__.py" and got["numpy.zeros"] is None
+    kinds = {r.identifier: r.elem_type for r in imports.id_types(repo, ids).collect()}
+    assert kinds == {"module.utils.Utils.compute": "METHOD", "module.utils.Utils": "CLASS", "test.foo": "FUNCTION", "numpy.zeros": "API", "<builtin>.print": "BUILTIN", "module.nothing": "OTHER"}
+
+
+def test_failed_tests_are_cut(spark):
+    code = "class T:\n    def test_a(self):\n        pass\n\n    def test_b(self):\n        pass\n"
+    tests = spark.createDataFrame([(1, 0, "t", code), (2, 0, "t", "def ("), (3, 0, "t", None)], "fut_no long, round_no long, test_id string, code string")
+    fails = spark.createDataFrame([(1, 0, "t", "test_a"), (2, 0, "t", "test_a"), (3, 0, "t", None)], "fut_no long, round_no long, test_id string, test string")
+    got = {r.fut_no: r.code for r in feedback.without_failures(tests, fails).collect()}
+    assert "test_a" not in got[1] and "test_b" in got[1] and got[2] == "def (" and got[3] is None
