@@ -35,7 +35,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 WORD = re.compile(r"[^\W_]+(?:[_'’][^\W_]+)*")
 UNICODE_ESCAPE = re.compile(r"\\+u([0-9a-fA-F]{4})")
-CONTROL_ESCAPE = re.compile(r"\\+[nrtfv]|\\+(?=[\"'/])")
+CONTROL_ESCAPE = re.compile(r"\\+[nrtfv]")
+MARK_ESCAPE = re.compile(r"\\+(?=[^\w\s])")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 
@@ -47,7 +48,7 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if "\\" in text:
-        text = CONTROL_ESCAPE.sub(" ", UNICODE_ESCAPE.sub(lambda m: chr(int(m[1], 16)), text))
+        text = MARK_ESCAPE.sub("", CONTROL_ESCAPE.sub(" ", UNICODE_ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)))
     if "%" in text and PERCENT.search(text):
         text = unquote(text, errors="replace")
     if not text.isascii():

@@ -50,7 +50,7 @@ ITEM = "Given twelve brass bottles, pick_one has to choose the lonely cork where
 
 @pytest.mark.parametrize("text", [
     ITEM.upper(), "  ".join(ITEM.split()), "# " + ITEM.replace(" has", "\n#  has"), "> " + ITEM.replace(",", "&#44;").replace(" any", "&nbsp;any"), '{"p": "' + ITEM.replace(" cork", "\\ncork").replace("b", "\\u0062") + '"}', ITEM.replace(" ", "%20"), "x " * 5000 + ITEM,
-    ITEM.replace("lonely", "single"), ITEM.replace(",", " ;").replace(".", ""),
+    ITEM.replace("_", "\\_").replace(",", "\\,"), ITEM.replace("lonely", "single"), ITEM.replace(",", " ;").replace(".", ""),
 ])
 def test_layout_does_not_matter(text):
     assert [x[:2] for x in L.ItemIndex([(5, ITEM)]).leaks([text])] == [(0, 5)]
