@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 LOGS = "map<string,struct<valid:boolean,passed_count:bigint,failed_count:bigint,errored_count:bigint>>"
 ERRORS = "map<string,array<struct<type:string,test:string,message:string>>>"
 COVERAGE = "array<struct<num_executable_lines:bigint,num_excluded_lines:bigint,num_unexecuted_lines:bigint,num_executed_branches:bigint,line_coverage_percentage:double,branch_coverage_percentage:double,unexecuted_lines:array<bigint>,start_line:bigint,end_line:bigint>>"
-#: Set-up errors that say nothing about the unit (fixed values).
-IGNORED_ERRORS = ("No module named 'fut_module'", "Timeout")
+# Substrings of set-up errors that say nothing about the unit.
+IGNORED_ERRORS = ("SyntaxWarning: invalid escape sequence", "NameError: ")
 ERROR_LINE = r"^(\w+Error|Exception): (.+)"
 
 

@@ -200,7 +200,7 @@ SQL = {
     + "a2 AS (SELECT fut_no, arg, string_agg(t, ', ' ORDER BY t) AS types FROM a1 GROUP BY 1, 2), a AS (SELECT fut_no, string_agg(arg || ': ' || types, '; ' ORDER BY arg) AS argument_types FROM a2 GROUP BY 1), "
     + "o1 AS (SELECT DISTINCT fut_no, " + _TYPE.format("o -> '$.output'") + " AS t FROM c), o2 AS (SELECT fut_no, string_agg(coalesce(t, 'VOID'), ', ' ORDER BY t) AS output_types FROM o1 GROUP BY 1) "
     + "SELECT o2.fut_no, argument_types, output_types FROM o2 LEFT JOIN a ON a.fut_no = o2.fut_no",
-    "init_errors": _ROUNDS + " SELECT fut_no, round_no, error FROM rounds WHERE error IS NOT NULL AND NOT contains(error, 'No module named ''fut_module''') AND NOT contains(error, 'Timeout')",
+    "init_errors": _ROUNDS + " SELECT fut_no, round_no, error FROM rounds WHERE error IS NOT NULL AND NOT contains(error, 'SyntaxWarning: invalid escape sequence') AND NOT contains(error, 'NameError: ')",
     "coverage_marks": _ROUNDS + """, v0 AS (SELECT fut_no, round_no, unnest(cov) AS o, unnest(range(len(cov))) AS n FROM rounds), v AS (SELECT fut_no, TRY_CAST(o -> '$.unexecuted_lines' AS BIGINT[]) AS u FROM v0 WHERE json_type(o -> '$.unexecuted_lines') = 'ARRAY'
  QUALIFY row_number() OVER (PARTITION BY fut_no ORDER BY round_no DESC, n DESC) = 1), k AS (SELECT DISTINCT unit_no, function_code AS code FROM code_functions WHERE function_code IS NOT NULL),
  f AS (SELECT DISTINCT fut_no, unit_no FROM functions_under_test), x AS (SELECT f.fut_no, v.u, string_split(k.code, chr(10)) AS l FROM f JOIN v ON v.fut_no = f.fut_no JOIN k ON k.unit_no = f.unit_no)
