@@ -3,7 +3,9 @@ of small inputs and size-checked broadcasts."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,35 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 32 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the session's Python workers, once for each application.
+
+    Workers that find it by PYTHONPATH need nothing; others, executors that join later
+    among them, fetch an archive of its sources from the driver.
+    """
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if sc.applicationId in _SHIPPED or root in on_path or not os.path.isdir(package):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="codequarry-"), "codequarry.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder."""
+    """One table of a data folder; the package goes to the workers with the first one."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -56,3 +56,14 @@ def test_core_does_not_need_llm():
                 text = open(os.path.join(folder, n)).read()
                 assert "llm" not in [w for line in text.split("\n") if line.lstrip().startswith(("import ", "from ")) for w in line.replace(".", " ").split()], n
     assert importlib.util.find_spec("codequarry") is not None
+
+
+def test_workers_find_the_package_from_elsewhere(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e\nfrom pyspark.sql import SparkSession\ns = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\nprint('ROWS', e.queries()['p7_found'](s, {DATA!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "ROWS" in out.stdout, out.stderr[-1500:]
