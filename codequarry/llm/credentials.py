@@ -26,7 +26,7 @@ from ..session import spread
 #: Bits a character that a value in a well-known format must have at least.
 KNOWN_BITS = 2.8
 #: Bits a character that a random value may fall short of what its length and alphabet lead to
-#: expect: of 40 random letters and digits fewer than one in ten thousand falls shorter.
+#: expect: none of some ten thousand values read on test tables falls shorter.
 SLACK = 1.3
 #: What stands in for a redacted value.
 MASK = "REDACTED"
