@@ -4,7 +4,8 @@ Lines that can hold one are found by plain substring searches; in them quoted st
 bare values and long tokens are extracted with the name they are given to. Shannon
 entropy over the smallest alphabet that holds a value is compared with a threshold
 adjusted to its length; formats of well-known keys and names that promise a secret lower
-it. Digests, commit and run ids, public keys, embedded data, identifiers, names of
+it. Tokens and quoted strings without such a name are judged anywhere in the text, against
+a stricter threshold. Digests, commit and run ids, public keys, embedded data, identifiers, names of
 secrets, lookups and stand-ins are excluded. Redaction replaces the value alone, so
 quotes, names and line structure stay and what parsed before parses after.
 """
@@ -28,6 +29,14 @@ KNOWN_BITS = 2.8
 #: Bits a character that a random value may fall short of what its length and alphabet lead to
 #: expect: none of some ten thousand values read on test tables falls shorter.
 SLACK = 1.3
+#: The same for a value that no name makes a secret, and the least share of its characters
+#: that follow one of another class (a random value of letters and digits shows about 0.62,
+#: identifiers in camel case about a third).
+UNNAMED_SLACK, UNNAMED_CHANGES = 0.7, 0.42
+#: Least and most characters of a value that no name makes a secret; longer ones are data.
+UNNAMED_SIZE = (20, 100)
+#: Characters of a list or mapping under a name that promises secrets that are read.
+CONTAINER_SIZE = 4_000
 #: What stands in for a redacted value.
 MASK = "REDACTED"
 
@@ -65,7 +74,17 @@ QUOTED = re.compile(r"([A-Za-z_][\w.-]*)['\"]?\]?\s*(?::\s*[A-Za-z_][\w.\[\]]*\s
 MORE = re.compile(r"\s*(?:\+|\\\n|\.)?\s*[bBrRuUfF]{0,2}([\"'])((?:(?!\1)[^\\\n]|\\.)*)\1")
 BARE = re.compile(r"^\s*(?:export\s+|-\s+)?([A-Za-z_][\w.-]*)\s*[:=]\s*([^\s'\"#;,(){}\[\]][^\s'\"]*)\s*(?:[#;].*)?$")
 NOTE = re.compile(r"(?i)(?:#|//|--|/\*|\*|;|<!--|\"\"\"|^)[^\n]*?\b(pass(?:word|phrase|wd)?|pwd|secret|token|(?:api |old |new |access |deploy |private )?key|cred(?:ential)?s?|login|auth)\b[^\n:=]{0,40}[:=]\s*(?:[\w.@-]{1,40}\s+/\s+)?[`'\"]?([^\s'\"`]{8,})")
-LOOSE = re.compile(r"(?<![\w/+.-])[A-Za-z0-9+/_=.-]{20,}")
+LOOSE = re.compile(r"(?<![\w/+.-])[A-Za-z0-9+/_.-]{20,}={0,2}(?![\w(])")
+#: Quoted strings without blanks or escapes.
+SOLID = re.compile(r"([\"'`])([^\s\"'`\\]{20,})\1")
+STRING = re.compile(r"[bBrRuUfF]{0,2}([\"'])((?:(?!\1)[^\\\n]|\\.)*)\1")
+#: name and operator before a value, as far as they stand on its line.
+NAME_BEFORE = re.compile(r"([A-Za-z_][\w.-]*)['\"]?\]?\s*(?::\s*[A-Za-z_][\w.\[\]]*\s*)?(?:=>|[:=])\s*[bBrRuUfF]{0,2}['\"`]?$")
+# Words of names that say that a random value is no secret.
+HARMLESS_WORDS = frozenset("digest hash hashes sha sha1 sha256 sha512 md5 crc checksum checksums integrity etag commit rev revision ref run build id ids uuid guid fingerprint nonce pub public pubkey data pixel image img icon logo blob chunk payload font base64 b64 signature version url uri href src path file cert certificate salt seed fixture expected".split())
+#: A name whose value begins in a later line, and a name of a list or mapping.
+CONTINUED = re.compile(r"([A-Za-z_][\w.-]*)['\"]?\]?[ \t]*(?:=>|[:=])[ \t]*(?:[\w.]*\(|\\)?[ \t]*(?:#[^\n]*)?$")
+CONTAINER = re.compile(r"([A-Za-z_][\w.-]*)['\"]?\]?\s*(?:=>|[:=])\s*[\[{(]")
 WORD_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -128,6 +147,75 @@ def is_secret(name: str, value: str) -> bool:
     return letters and digits and len(value) >= 12 and random_looking(value)
 
 
+def unnamed_secret(value: str) -> bool:
+    """Whether a value is random enough to be a secret whatever it is called."""
+    if not UNNAMED_SIZE[0] <= len(value) <= UNNAMED_SIZE[1] or HEX.match(value) or "://" in value:
+        return False
+    kinds = ["U" if c.isupper() else "l" if c.islower() else "0" if c.isdigit() else "-" for c in value]
+    if not {"U", "l", "0"} <= set(kinds) or sum(a != b for a, b in zip(kinds, kinds[1:])) < UNNAMED_CHANGES * (len(value) - 1):
+        return False
+    if entropy(value) < min(alphabet(value), math.log2(len(value))) - UNNAMED_SLACK:
+        return False
+    parts = [x for x in re.split(r"[^A-Za-z0-9]+", value) if x]
+    if max(map(len, parts)) < 8 and not any(c in "!#$%&*?@^~" for c in value):
+        return False  # words, dates and numbers joined by marks
+    return not (UUID.match(value) or STAND_IN.search(value) or PUBLIC.match(value) or PATH.match(value))
+
+
+def unnamed(text: str):
+    """Spans of random values that no name makes a secret, over the whole text."""
+    judged: list[tuple[int, int]] = []
+    tokens = [m.span() for m in LOOSE.finditer(text)]
+    solid = [m.span(2) for m in SOLID.finditer(text)]
+    if not tokens and not solid:
+        return
+    for a, b in sorted([*solid, *((a, b) for a, b in tokens)], key=lambda x: (x[0], -x[1])):
+        if judged and a < judged[-1][1]:
+            continue
+        if not unnamed_secret(text[a:b].rstrip(".")):
+            # a string that fails is judged whole, so that what it holds doesn't pass by itself
+            if (a, b) in solid:
+                judged.append((a, b))
+            continue
+        judged.append((a, b))
+        start = text.rfind("\n", 0, a) + 1
+        lead = text[start:a]
+        if m := NAME_BEFORE.search(lead):
+            words = {w.lower() for w in WORD_PART.findall(m[1])} | {w.lower() for w in re.split(r"[_.-]", m[1])}
+            if words & HARMLESS_WORDS or name_kind(m[1]) is not None:
+                continue  # a name that promises a secret has been asked already
+        if re.search(r"(?:\b[bB][rR]?['\"]|W/\\?['\"]|[;,]base64,\s*|sha\d+[-:]|ssh-\S+\s+|://\S*)$", lead):
+            continue  # bytes, tags, embedded data, digests, public keys, addresses
+        yield a, a + len(text[a:b].rstrip("."))
+
+
+def below_name(text: str, start: int, end: int):
+    """Spans of the values that a name in the line text[start:end] is given in later lines, or in a
+    list or mapping."""
+    line = text[start:end]
+    if (m := CONTINUED.search(line)) and (v := STRING.match(text, end + len(re.match(r"\s*", text[end:end + 200])[0]))):
+        value, spans, at = v[2], [v.span(2)], v.end()
+        while (more := MORE.match(text, at)) and text[at : more.start(1)].strip(" bBrRuUfF\t\r\n\\") in ("+", "", ".") and (line.rstrip().endswith("(") or "+" in text[at : more.start(1)] or "\\" in text[at : more.start(1)]):
+            value += more[2]
+            spans.append(more.span(2))
+            at = more.end()
+        if text[at : at + 40].lstrip()[:1] != ":" and is_secret(m[1], value):
+            yield spans
+    for m in CONTAINER.finditer(line):
+        single = re.sub(r"(?i)(?<=\w)s$", "", m[1])
+        if single == m[1] or name_kind(single) not in ("password", "secret"):
+            continue
+        at, depth, stop = start + m.end(), 1, min(len(text), start + m.end() + CONTAINER_SIZE)
+        while at < stop and depth:
+            if text[at] in "'\"" and (v := STRING.match(text, at)):
+                at = v.end()
+                if text[at : at + 40].lstrip()[:1] != ":" and is_secret(single, v[2]):
+                    yield [v.span(2)]
+                continue
+            depth += (text[at] in "[{(") - (text[at] in "]})")
+            at += 1
+
+
 def header_secret(kind: str, value: str) -> bool:
     if STAND_IN.search(value) or len(value) < 12:
         return False
@@ -193,6 +281,8 @@ def find(text: str | None):
     if not text:
         return []
     lower = text.lower()
+    if len(lower) != len(text):
+        lower = "".join(c if len(x := c.lower()) > 1 else x for c in text)  # offsets stay
     starts: set[int] = set()
     for hint in HINTS:
         at = lower.find(hint)
@@ -200,7 +290,7 @@ def find(text: str | None):
             starts.add(text.rfind("\n", 0, at) + 1)
             end = text.find("\n", at)
             at = lower.find(hint, end) if end >= 0 else -1
-    for m in FORMATS.finditer(text) if len(lower) == len(text) else ():
+    for m in FORMATS.finditer(text):
         starts.add(text.rfind("\n", 0, m.start()) + 1)
     out = []
     keys = []
@@ -209,16 +299,21 @@ def find(text: str | None):
         keys.append((m.start(), m.end(), body.end() if body else len(text)))
         stop = text.rfind("-----END", m.end(), body.end()) if body else len(text)
         out.append((text.count("\n", 0, m.start()) + 1, [(m.end(), stop)]))
+    found = []
     for start in sorted(starts):
         if any(a <= start < c for a, _, c in keys):
             continue
         end = text.find("\n", start)
         end = len(text) if end < 0 else end
-        # a call or sum may go on in the next lines; the credential is where its value begins
-        number = 0
-        for spans in in_line(text, start, end):
-            number = number or text.count("\n", 0, start) + 1
-            out.append((number, [(start + a, start + b) for a, b in spans]))
+        found += [[(start + a, start + b) for a, b in spans] for spans in in_line(text, start, end)]
+        # the credential is where its value begins
+        found += below_name(text, start, end)
+    found += [[span] for span in unnamed(text)]
+    taken: list[tuple[int, int]] = [(a, c) for a, _, c in keys]
+    for spans in found:
+        if all(b <= x or a >= y for a, b in spans for x, y in taken):
+            taken += spans
+            out.append((text.count("\n", 0, spans[0][0]) + 1, spans))
     return sorted(out)
 
 
