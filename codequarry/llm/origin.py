@@ -16,18 +16,24 @@ from pyspark.sql import functions as F
 
 #: Thresholds per language (extension): characters of a very long line, share of text in
 #: such lines, share of encoded runs, share of lines alike but for numbers, least lines for
-#: that, share of delimited rows. None: the statistic says nothing for this language.
+#: that, share of delimited rows, share of digits in data; mean line from which and white
+#: space up to which code is minified. None: the statistic says nothing for this language.
 THRESHOLDS = {
-    "py": {"long_line": 800, "long_share": 0.4, "encoded_share": 0.6, "alike_share": 0.55, "alike_lines": 12, "row_share": 0.9},
-    "js": {"long_line": 800, "long_share": 0.4, "encoded_share": 0.6, "alike_share": 0.6, "alike_lines": 12, "row_share": 0.9},
-    "toml": {"long_line": None, "long_share": None, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 30, "row_share": None},
-    "json": {"long_line": None, "long_share": None, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 60, "row_share": None},
-    "yml": {"long_line": 2000, "long_share": 0.6, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 30, "row_share": None},
-    "ini": {"long_line": 2000, "long_share": 0.6, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 30, "row_share": None},
-    "env": {"long_line": 2000, "long_share": 0.6, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 30, "row_share": None},
+    "py": {"long_line": 800, "long_share": 0.4, "encoded_share": 0.6, "alike_share": 0.55, "alike_lines": 12, "row_share": 0.9, "digit_share": 0.2, "dense_line": 200, "dense_space": 0.1},
+    "js": {"long_line": 800, "long_share": 0.4, "encoded_share": 0.6, "alike_share": 0.6, "alike_lines": 12, "row_share": 0.9, "digit_share": 0.2, "dense_line": 140, "dense_space": 0.1},
+    "toml": {"long_line": 2000, "long_share": 0.6, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 30, "row_share": None, "digit_share": 0.2, "dense_line": None, "dense_space": None},
+    "json": {"long_line": 2000, "long_share": 0.6, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 60, "row_share": None, "digit_share": 0.2, "dense_line": 300, "dense_space": 0.06},
+    "yml": {"long_line": 2000, "long_share": 0.6, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 30, "row_share": None, "digit_share": 0.2, "dense_line": None, "dense_space": None},
+    "ini": {"long_line": 2000, "long_share": 0.6, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 30, "row_share": None, "digit_share": 0.2, "dense_line": None, "dense_space": None},
+    "env": {"long_line": 2000, "long_share": 0.6, "encoded_share": 0.6, "alike_share": 0.7, "alike_lines": 30, "row_share": None, "digit_share": 0.2, "dense_line": None, "dense_space": None},
 }
+#: Letters and digits that dense code has at least and at most; a long text or a run of codes has more.
+DENSE_ALNUM = (0.3, 0.85)
+#: Mean line from which a name that minifiers give decides, where white space is rare too.
+NAMED_LINE, NAMED_SPACE = 80, 0.12
 
-#: Lines at either end of a file in which a notice counts.
+#: Lines at either end of a file in which a notice counts, comment or not; beyond them it
+#: counts in the whole comment block at that end.
 HEAD_LINES, TAIL_LINES = 12, 4
 _START = r"(?im)^[ \t]*(?:#+|//+|/?\*+|;+|<!--|--|\x22//\x22\s*:\s*\x22)?[ \t]*"
 # Notices of generators, as the start of a comment or docstring line without placeholders.
@@ -54,6 +60,35 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
+def _block(lines: Column, leading: bool) -> Column:
+    """The whole comment block (or docstring) at one end of the lines, as text; null if it ends
+    within HEAD_LINES or TAIL_LINES."""
+    quotes = ('"""', "'''")
+
+    def step(state: Column, line: Column) -> Column:
+        x = F.trim(line)
+        of = lambda kind: F.struct(F.lit(kind).alias("kind"), (state["n"] + 1).alias("n"))
+        if leading:
+            out = F.when(state["kind"] == 1, F.when(x.contains("*/"), of(0)).otherwise(of(1)))
+            for k, q in enumerate(quotes, 2):
+                out = out.when(state["kind"] == k, F.when(x.contains(q), of(0)).otherwise(of(k)))
+            out = out.when(state["kind"] == 9, state).when(x.rlike(r"^(?:#|//|;|--|<!--|\{$|\x22(?://|_?comment)\x22)"), of(0))
+            out = out.when(x.startswith("/*"), F.when(x.contains("*/"), of(0)).otherwise(of(1)))
+            for k, q in enumerate(quotes, 2):
+                out = out.when(x.rlike("^[rRuU]?" + q), F.when(x.rlike(q + "[\\s\\S]*" + q), of(0)).otherwise(of(k)))
+        else:
+            out = F.when(state["kind"] == 9, state).when((state["kind"] == 1) | x.endswith("*/"), F.when(x.startswith("/*"), of(0)).otherwise(of(1)))
+            out = out.when(x.rlike(r"^(?:#|//|;|--|<!--)"), of(0))
+        return out.otherwise(F.struct(F.lit(9).alias("kind"), state["n"].alias("n")))
+
+    ordered = lines if leading else F.reverse(lines)
+    start = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("n"))
+    near = HEAD_LINES if leading else TAIL_LINES
+    # the lines near the end count anyway; most blocks end within them
+    beyond = F.aggregate(F.slice(ordered, 1, near), start, step, lambda s: s["kind"] != 9)
+    return F.when((F.size(ordered) > near) & beyond, F.array_join(F.slice(ordered, 1, F.aggregate(ordered, start, step, lambda s: s["n"])), "\n"))
+
+
 def layout(files: DataFrame) -> DataFrame:
     """files with language and layout statistics; all are null or 0 for null or blank content."""
     text = F.replace(F.col("file_content"), F.lit("\r"), F.lit("\n"))
@@ -73,11 +108,13 @@ def layout(files: DataFrame) -> DataFrame:
         per_line(size).alias("mean_line"),
         share(size - _without(F.col("file_content"), " \t\r\n")).alias("space_share"),
         share(size - _without(F.col("file_content"), "0123456789")).alias("digit_share"),
+        # only asked of text in long lines
+        F.when(size >= NAMED_LINE * F.col("n_lines"), share(size - F.length(F.regexp_replace("file_content", r"[\p{L}\p{N}]+", "")))).alias("alnum_share"),
         share(long_chars).alias("long_share"),
         share(size - F.length(F.regexp_replace("file_content", ENCODED, ""))).alias("encoded_share"),
         F.when(F.col("n_lines") > 0, 1 - F.size(alike) / F.col("n_lines")).otherwise(0.0).alias("alike_share"),
         per_line(rows).alias("row_share"),
-        F.concat_ws("\n", F.slice("lines", 1, HEAD_LINES), F.slice("lines", F.greatest(F.lit(1), F.col("n_lines") - TAIL_LINES + 1), TAIL_LINES)).alias("ends"),
+        F.concat_ws("\n", F.slice("lines", 1, HEAD_LINES), F.slice("lines", F.greatest(F.lit(1), F.col("n_lines") - TAIL_LINES + 1), TAIL_LINES), _block(F.col("lines"), True), _block(F.col("lines"), False)).alias("ends"),
     )
 
 
@@ -96,13 +133,16 @@ def origin(files: DataFrame) -> DataFrame:
     over = lambda name: F.coalesce(F.col(name) >= _threshold(name), F.lit(False))
     dense = over("encoded_share") | over("row_share") & (F.col("n_lines") >= 5)
     alike = over("alike_share") & F.coalesce(F.col("n_lines") >= _threshold("alike_lines"), F.lit(False))
-    numbers = F.col("digit_share") > 0.2
+    numbers = F.coalesce(F.col("digit_share") > _threshold("digit_share"), F.lit(False))
+    long_named = F.coalesce(F.col("rel_path").rlike(MINIFIED_NAME), F.lit(False)) & (F.col("mean_line") >= NAMED_LINE) & (F.col("space_share") <= NAMED_SPACE)
+    tight = F.coalesce((F.col("mean_line") >= _threshold("dense_line")) & (F.col("space_share") <= _threshold("dense_space")), F.lit(False)) & F.coalesce(F.col("alnum_share").between(*DENSE_ALNUM), F.lit(False))
+    packed = over("long_share") | tight | long_named
     data = F.col("file_content").rlike(r"(?s)^\s*[\[{]\s*[\[{\x22].*[\]}]\s*;?\s*$") & (F.col("language") != "json")
     kind = (
         F.when(F.coalesce(F.col("rel_path").rlike(DIRECTORIES), F.lit(False)) | F.coalesce(F.col("ends").rlike(VENDORED), F.lit(False)), "vendored")
         .when(F.coalesce(F.col("ends").rlike(GENERATED), F.lit(False)), "generated")
-        .when(dense | over("long_share") & (numbers | F.coalesce(data, F.lit(False))), "data")
-        .when(over("long_share"), "minified")
+        .when(dense | packed & (numbers | F.coalesce(data, F.lit(False))), "data")
+        .when(packed, "minified")
         .when(alike, "generated")
         .otherwise("hand_written")
     )

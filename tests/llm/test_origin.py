@@ -31,3 +31,21 @@ def test_tables(got):
     kept = O.hand_written(df).collect()
     assert sorted(r.file_no for r in kept) == sorted(k for k, v in kinds.items() if v == "hand_written")
     assert O.origin(df.limit(0)).count() == 0
+
+
+MIN = "!function(){" + "var a=function(b,c){return b+c},d=a(e,f);if(d>g)h.push(d);" * 40 + "}();"
+NOTICE = "# Generated by formc. DO NOT EDIT!\n"
+LICENCE = "".join(f"# Clause {'abcdefghijklmnopqrstuvwxyz'[k]} of the licence holds for all copies of it.\n" for k in range(24))
+IMPORTS = "".join(f"from pkg import {c * 3}\n" for c in "abcdefghijklmnop")
+PACKED = [
+    ("a/x.js", "\n".join(MIN[k : k + 500] for k in range(0, len(MIN), 500)), "minified"), ("a/x.js", MIN[:600], "minified"), ("a/x.min.js", MIN[:100] + "\n" + MIN[100:200], "minified"), ("a/x.json", '{"a":[' + ",".join('{"name":"some","kind":"other"}' for _ in range(100)) + "]}", "minified"),
+    ("a/x.min.js", "export function f(a) {\n  return a;\n}\n", "hand_written"), ("a/x.js", "// " + "a long remark in plain words that nobody wrapped " * 12 + "\nf();\n", "hand_written"),
+    ("a/b.py", LICENCE + NOTICE + HAND, "generated"), ("a/b.js", "/*\n" + LICENCE.replace("#", " *") + " * Copied from zanlib 1.2.3\n */\nf();\n", "vendored"), ("a/b.py", '"""' + LICENCE.replace("# ", "") + 'This file is generated by formc.\n"""\n' + HAND, "generated"), ("a/b.py", HAND + "\n" + NOTICE + LICENCE, "generated"),
+    ("a/b.py", IMPORTS + "T = (\n" + NOTICE + ")\n" + HAND, "hand_written"),
+]
+
+
+def test_packed_code_and_notices_in_long_blocks(spark):
+    df = spark.createDataFrame([(k, "r", p, t) for k, (p, t, _) in enumerate(PACKED)], "file_no long, repo_id string, rel_path string, file_content string")
+    kinds = {r.file_no: r.origin for r in O.origin(df).collect()}
+    assert [kinds[k] for k in range(len(PACKED))] == [x for _, _, x in PACKED]
