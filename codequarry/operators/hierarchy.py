@@ -305,8 +305,13 @@ def distributed_cycle_nodes(edges: DataFrame, parent: str = "parent", child: str
     colour, form one strongly connected component and leave.
     """
     e = edges.select(F.col(parent).alias("u"), F.col(child).alias("v")).where("u is not null and v is not null").distinct()
-    found = [e.where("u = v").select(F.col("u").alias("node_id"))]
-    e = _peel(e.where("u <> v"))
+    return e.where("u = v").select(F.col("u").alias("node_id")).union(_strong(e.where("u <> v")).select("node_id")).distinct()
+
+
+def _strong(e: DataFrame) -> DataFrame:
+    """(node_id, scc) of the strongly connected components of two or more nodes of edges u, v without self links."""
+    found = [e.select(F.col("u").alias("node_id"), F.col("u").alias("scc")).limit(0)]
+    e = _peel(e)
     while not e.isEmpty():
         colour = e.select("u").union(e.select("v")).distinct().select("u", F.col("u").alias("c"))
         while True:
@@ -326,10 +331,10 @@ def distributed_cycle_nodes(edges: DataFrame, parent: str = "parent", child: str
             reach = cut_lineage(reach.union(front))
         # a colour alone is on no cycle: self links were taken off
         many = reach.groupBy("c").count().where("count > 1").select("c")
-        found.append(cut_lineage(reach.join(many, "c", "left_semi").select(F.col("u").alias("node_id"))))
+        found.append(cut_lineage(reach.join(many, "c", "left_semi").select(F.col("u").alias("node_id"), F.col("c").alias("scc"))))
         gone = reach.select("u")
         e = _peel(e.join(gone, "u", "left_anti").join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"))
-    return reduce(DataFrame.union, found).distinct()
+    return reduce(DataFrame.union, found)
 
 
 def edge_hierarchy(edges: DataFrame, parent: str = "parent", child: str = "child", local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -363,12 +368,16 @@ def edge_hierarchy(edges: DataFrame, parent: str = "parent", child: str = "child
     if large.isEmpty():
         return done
     large = cut_lineage(large)
-    cyclic = cut_lineage(distributed_cycle_nodes(large, "u", "v"))
-    roots = large.select("component", F.col("u").alias("node_id")).distinct().join(large.select(F.col("v").alias("node_id")), "node_id", "left_anti")
-    # a component without a root is entered at its least cyclic node
-    rootless = large.select("component", F.col("u").alias("node_id")).join(roots.select("component"), "component", "left_anti").join(cyclic, "node_id", "left_semi").groupBy("component").agg(F.min("node_id").alias("node_id"))
+    inner = large.where("u <> v").select("u", "v")
+    strong = cut_lineage(_strong(inner))
+    cyclic = cut_lineage(strong.select("node_id").union(large.where("u = v").select("u")).distinct())
+    # as start_nodes: the least node of each strongly connected component that nothing else links to
+    nodes = large.select("component", F.col("u").alias("node_id")).union(large.select("component", "v")).distinct()
+    label = cut_lineage(nodes.join(strong, "node_id", "left").select("component", "node_id", F.coalesce("scc", "node_id").alias("scc")))
+    ends = inner.join(label.select(F.col("node_id").alias("u"), F.col("scc").alias("a")), "u").join(label.select(F.col("node_id").alias("v"), "scc"), "v")
+    roots = label.join(ends.where("a <> scc").select("scc"), "scc", "left_anti").groupBy("component", "scc").agg(F.min("node_id").alias("node_id"))
     level: Column = F.lit(0).cast("long")
-    front = cut_lineage(roots.unionByName(rootless).select("component", F.col("node_id").alias("root"), "node_id", level.alias("depth"), F.array("node_id").alias("path")))
+    front = cut_lineage(roots.select("component", F.col("node_id").alias("root"), "node_id", level.alias("depth"), F.array("node_id").alias("path")))
     levels = []
     while not front.isEmpty():
         levels.append(front)

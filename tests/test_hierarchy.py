@@ -91,3 +91,10 @@ def test_components(spark):
     assert got["a"] == got["b"] == got["c"] == "a" and got["d"] == got["e"] == "d" and got["f"] == "f"
     assert len({got[f"h{k}"] for k in range(50)} | {got["hub"]}) == 1
     assert H.connected_components(edges.where(F.lit(False))).count() == 0
+
+
+def test_edge_tables_give_equal_rows_at_every_size(spark):
+    links = [("r", "x"), ("a", "b"), ("b", "a"), ("b", "x"), ("d", "c"), ("c", "d"), ("d", "x"), ("s", "s"), ("s", "x"), ("x", "y"), ("y", "x")]
+    edges = spark.createDataFrame(links, "parent string, child string")
+    near, far = (sorted(map(str, H.edge_hierarchy(edges, local_edges=n).collect())) for n in (10_000, 0))
+    assert near == far and all(any(f"node_id='{n}'" in row for row in far) for n in "rabcdsxy")
