@@ -1,14 +1,19 @@
 """Evaluation texts leaking into training text.
 
-Greedy string tiling with running Karp-Rabin hashes: runs of SEED words shared by a
+Greedy string tiling with running Karp-Rabin hashes. Runs of SEED words shared by a
 document and an item are found by one rolling hash over each document and joined to
-their diagonals; maximal matches are marked longest first, without overlap, to measure
-how much of the item the document covers in any order; on each diagonal the longest
-passage with few enough replaced words decides. A passage of 18 words with at most one
-in nine replaced has an unbroken run of six (for k replaced words the longest run has at
-least ceil(8k / (k + 1)) words, and 9 for k = 1), so seeds of six words lose nothing.
-
-Items are a bounded set: they go to the workers in blocks of ITEM_BLOCK.
+their diagonals. A match is a stretch of a diagonal that begins and ends with an equal
+word and has at most one in nine words replaced. The longest match is marked as a tile,
+its words of document and item are taken, and so on until no match of TILE words is
+left. A pair is a leak if its longest tile has PASSAGE words, or if its tiles cover
+COVERAGE of the item in whatever order they stand.
+
+The first tile is the longest match of all, so no passage is lost to marking; and a
+passage of 18 words with at most one in nine replaced has an unbroken run of six (for k
+replaced words the longest run has at least ceil(8k / (k + 1)) words, and 9 for k = 1),
+so seeds of six words lose none.
+
+Items are a bounded set: they go to the workers in blocks of at most BLOCK_CHARS.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from functools import reduce
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +36,10 @@ from ..session import spread
 #: Words of a passage, and words of which one may be replaced.
 PASSAGE, PER_REPLACED = 18, 9
 SEED = 6
-#: Items that one pass over the corpus compares; more items take more passes.
-ITEM_BLOCK = 20_000
+#: Least words of a tile, and the share of an item's words that tiles cover in a reordered copy.
+TILE, COVERAGE = 6, 0.5
+#: Characters of the items that one pass over the corpus compares; more items take more passes.
+BLOCK_CHARS = 32 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 WORD = re.compile(r"[^\W_]+(?:[_'’][^\W_]+)*")
@@ -67,18 +76,24 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def passage(doc: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int, int]:
-    """(words, start in the item, replaced words) of the longest passage on a diagonal: it
-    begins and ends with a match and has at most one in PER_REPLACED words replaced."""
+def longest_match(doc: np.ndarray, item: np.ndarray, offset: int, free_doc: np.ndarray | None = None, free_item: np.ndarray | None = None) -> tuple[int, int, int]:
+    """(words, start in the item, replaced words) of the longest match on a diagonal among the
+    words that are free: it begins and ends with an equal word, has at most one in
+    PER_REPLACED words replaced and passes over no word that is taken."""
     low, high = max(0, -offset), min(len(item), len(doc) - offset)
     same = item[low:high] == doc[low + offset : high + offset]
+    wall = np.zeros(len(same), np.int64)
+    if free_doc is not None:
+        taken = ~(free_item[low:high] & free_doc[low + offset : high + offset])
+        same &= ~taken
+        wall = taken.astype(np.int64) * (PER_REPLACED * len(same) + 1)  # more than any match can make up for
     hits = np.flatnonzero(same)
     if not len(hits):
         return 0, 0, 0
     missed = np.concatenate([[0], np.cumsum(~same)])
-    # of the passage a..e: PER_REPLACED * (missed[e+1] - missed[a]) <= e - a + 1
-    left = hits - PER_REPLACED * missed[hits]
-    right = hits + 1 - PER_REPLACED * missed[hits + 1]
+    weight = np.concatenate([[0], np.cumsum(np.where(same, 0, PER_REPLACED) + wall)])
+    # of the match a..e: weight[e+1] - weight[a] <= e - a + 1
+    left, right = hits - weight[hits], hits + 1 - weight[hits + 1]
     lowest = np.minimum.accumulate(left)
     best = (0, 0, 0)
     for k, e in enumerate(hits):
@@ -89,25 +104,26 @@ def passage(doc: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int, i
     return best
 
 
-def tiling(doc: np.ndarray, item: np.ndarray, offsets, least: int = SEED) -> int:
-    """Words of the item that maximal matches cover, marked longest first without overlap."""
-    matches = []
-    for offset in offsets:
-        low, high = max(0, -offset), min(len(item), len(doc) - offset)
-        same = np.concatenate([[False], item[low:high] == doc[low + offset : high + offset], [False]])
-        edge = np.flatnonzero(np.diff(same.astype(np.int8)))
-        matches += [(int(b - a), int(a + low), offset) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
-    in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    while matches:
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
-        size, at, offset = matches.pop(0)
-        free = ~(in_item[at : at + size] | in_doc[at + offset : at + offset + size])
-        if free.all():
-            in_item[at : at + size] = in_doc[at + offset : at + offset + size] = True
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-        matches += [(int(b - a), int(a + at), offset) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
-    return int(in_item.sum())
+def tiling(doc: np.ndarray, item: np.ndarray, offsets, least: int = TILE) -> list[tuple[int, int, int, int]]:
+    """Tiles (words, start in the item, start in the document, replaced words), longest first: the
+    longest match is marked again and again, without overlap, until none has `least` words.
+    Of matches of one length the first in the item, then in the document, is taken."""
+    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+    best = {o: longest_match(doc, item, o) for o in offsets}
+    tiles: list[tuple[int, int, int, int]] = []
+    while best:
+        offset = min(best, key=lambda o: (-best[o][0], best[o][1], o))
+        size, at, replaced = best[offset]
+        if size < least:
+            break
+        tiles.append((size, at, at + offset, replaced))
+        free_item[at : at + size] = False
+        free_doc[at + offset : at + offset + size] = False
+        for o, (n, i, _) in list(best.items()):
+            # only matches that the tile touches change
+            if i < at + size and at < i + n or i + o < at + offset + size and at + offset < i + o + n:
+                best[o] = longest_match(doc, item, o, free_doc, free_item)
+    return tiles
 
 
 class ItemIndex:
@@ -131,7 +147,7 @@ class ItemIndex:
         self.hashes, self.owners = flat[order], [owners[i] for i in order]
 
     def leaks(self, texts: list[str | None]):
-        """(text number, item id, passage words, replaced words, covered words, item words)"""
+        """(text number, item id, words and replaced words of the longest tile, tiles, covered words, item words)"""
         known = self.ids.get
         docs = [np.array([known(w, 0) for w in words(t)], np.uint64) for t in texts]
         gap = np.zeros(SEED, np.uint64)
@@ -151,37 +167,61 @@ class ItemIndex:
                 k += 1
         for (n, item), offsets in lines.items():
             item_id, array = self.items[item]
-            size, _, replaced = max(passage(docs[n], array, o) for o in offsets)
-            if size >= PASSAGE:
-                yield n, item_id, size, replaced, tiling(docs[n], array, sorted(offsets)), len(array)
+            tiles = tiling(docs[n], array, sorted(offsets))
+            if not tiles:
+                continue
+            covered = sum(size - replaced for size, _, _, replaced in tiles)
+            if tiles[0][0] >= PASSAGE or covered >= max(PASSAGE, COVERAGE * len(array)):
+                yield n, item_id, tiles[0][0], tiles[0][3], len(tiles), covered, len(array)
+
+
+#: The index of the block of items that a worker compares last, so that its next task has it.
+_KEPT: dict[str, ItemIndex] = {}
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, block: int = ITEM_BLOCK) -> DataFrame:
-    """Distinct (doc_id, item_id, passage_words, replaced_words, covered_words, coverage) of
-    the documents that hold a passage of an item.
+def _index(token: str, sent: Broadcast) -> ItemIndex:
+    if token not in _KEPT:
+        _KEPT.clear()
+        _KEPT[token] = ItemIndex(sent.value)
+    return _KEPT[token]
 
-    Null and empty texts hold none, items of fewer than 18 words have none, repeated
-    rows count once. The corpus is read once for each block of items and not shuffled;
-    one document's words are the largest unit of work.
+
+def leaked_items(docs: DataFrame, items: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
+    """Distinct (doc_id, item_id, passage_words, replaced_words, tiles, covered_words, coverage)
+    of the documents that leak an item, as a passage or as tiles in any order.
+
+    passage_words and replaced_words are those of the longest tile, covered_words the equal
+    words of all tiles. Null and empty texts hold none, items of fewer than 18 words have
+    none, repeated rows count once. The corpus is read once for each block of items (of
+    about block characters) and not shuffled; one document's words are the largest unit
+    of work.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
-    blocks = max(1, -(-items.count() // block))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage_words", pa.int64()), ("replaced_words", pa.int64()), ("covered_words", pa.int64()), ("coverage", pa.float64())])
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text") + 16)).first()[0] or 0) // block))
+    fields = [("doc_id", "long"), ("item_id", "long"), ("passage_words", "long"), ("replaced_words", "long"), ("tiles", "long"), ("covered_words", "long"), ("coverage", "double")]
+    schema = pa.schema([(n, pa.float64() if t == "double" else pa.int64()) for n, t in fields])
     texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''"))
 
     def one(number: int) -> DataFrame:
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about block items
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
+        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # about block characters
+        token = uuid.uuid4().hex
 
         def run(batches):
-            index = ItemIndex(sent.value)
+            index = _index(token, sent)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = [(ids[n], i, size, replaced, covered, covered / whole) for n, i, size, replaced, covered, whole in index.leaks(batch.column(1).to_pylist())]
+                found = [(ids[n], i, size, replaced, tiles, covered, covered / whole) for n, i, size, replaced, tiles, covered, whole in index.leaks(batch.column(1).to_pylist())]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
 
-        return texts.mapInArrow(run, "doc_id long, item_id long, passage_words long, replaced_words long, covered_words long, coverage double")
+        return texts.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))
 
     return reduce(DataFrame.union, map(one, range(blocks))).distinct()
+
+
+def passages(docs: DataFrame, items: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
+    """Distinct (doc_id, item_id) of the leaks whose longest tile is a passage of PASSAGE words.
+    Tables and cases as for leaked_items."""
+    return leaked_items(docs, items, block).where(F.col("passage_words") >= PASSAGE).select("doc_id", "item_id").distinct()

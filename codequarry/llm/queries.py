@@ -17,7 +17,7 @@ QUERIES = {
     "p6_hand_written": lambda s, d: origin.hand_written(load(s, d, "files")),
     "p8_ids": lambda s, d: bpe.encode_corpus(load(s, d, "documents")),
     "p8_decoded": lambda s, d: bpe.decode_corpus(bpe.encode_corpus(load(s, d, "documents"))),
-    "p9_found": lambda s, d: leaks.leaked_items(load(s, d, "documents"), load(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
+    "p9_found": lambda s, d: leaks.passages(load(s, d, "documents"), load(s, d, "eval_items")),
     "p10_found": lambda s, d: encoding.garbled_texts(load(s, d, "documents")).select("doc_id").distinct(),
     "p10_restored": lambda s, d: encoding.garbled_texts(load(s, d, "documents")),
     "p9_leaks": lambda s, d: leaks.leaked_items(load(s, d, "documents"), load(s, d, "eval_items")),

@@ -41,8 +41,53 @@ def test_found_like_brute_force():
 def test_tiling_catches_reordered_parts():
     item = np.arange(1, 41, dtype=np.uint64)
     doc = np.concatenate([item[20:40], np.zeros(3, np.uint64), item[:20]])
-    assert L.tiling(doc, item, [-20, 23]) == 40
-    assert L.passage(doc, item, -20)[0] == 20
+    assert L.tiling(doc, item, [-20, 23]) == [(20, 0, 23, 0), (20, 20, 0, 0)]
+    assert L.longest_match(doc, item, -20)[0] == 20
+
+
+def brute_tiling(doc, item, least):
+    """Tiles by looking at all pairs of free stretches again and again."""
+    free_doc, free_item, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for p in range(len(doc)):
+                missed, n = 0, 0
+                while i + n < len(item) and p + n < len(doc) and free_item[i + n] and free_doc[p + n]:
+                    missed += item[i + n] != doc[p + n]
+                    n += 1
+                    if item[i] == doc[p] and item[i + n - 1] == doc[p + n - 1] and L.PER_REPLACED * missed <= n and (-n, i, p - i) < (-best[0], best[1], best[2] - best[1]):
+                        best = (n, i, p)
+        if best[0] < least:
+            return tiles
+        n, i, p = best
+        tiles.append((n, i, p, sum(item[i + k] != doc[p + k] for k in range(n))))
+        free_item[i : i + n] = [False] * n
+        free_doc[p : p + n] = [False] * n
+
+
+def test_tiling_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        doc, item = rng.choices([1, 2, 3, 4], k=rng.randint(1, 26)), rng.choices([1, 2, 3, 4], k=rng.randint(1, 22))
+        offsets = range(-len(item) + 1, len(doc))
+        assert L.tiling(np.array(doc, np.uint64), np.array(item, np.uint64), offsets, 2) == brute_tiling(doc, item, 2)
+
+
+def test_reordered_item_is_a_leak_without_a_passage(spark, monkeypatch):
+    words = [f"word{k}" for k in range(72)]
+    pieces = [words[a : a + 17] for a in range(0, 68, 17)]
+    text = " between ".join(" ".join(x) for x in reversed(pieces))
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, " ".join(pieces[0])), (3, " ".join(words[20:40]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.leaked_items(docs, items).collect()}
+    assert set(got) == {1, 3} and (got[1].passage_words, got[1].tiles, got[1].covered_words) == (17, 4, 68)
+    assert [tuple(r) for r in L.passages(docs, items).collect()] == [(3, 1)]
+
+
+def test_nothing_is_found_without_tiles(monkeypatch):
+    monkeypatch.setattr(L, "tiling", lambda *_: [])
+    assert list(L.ItemIndex([(5, ITEM)]).leaks([ITEM])) == []
 
 
 ITEM = "Given twelve brass bottles, pick_one has to choose the lonely cork where any ring counts once it has been lifted for 46 days before the gate closes"
@@ -65,7 +110,7 @@ def test_rows_and_blocks(spark):
     items = spark.createDataFrame([(k, f"{ITEM} number {k} and so on {k * 7}", "s") for k in range(6)] + [(77, None, None), (78, "", None), (0, f"{ITEM} number 0 and so on 0", "s")], "item_id long, text string, doc_id string")
     docs = spark.createDataFrame([(1, f"see {ITEM} number 3 and", "x"), (1, f"see {ITEM} number 3 and", "x"), (2, None, None), (3, "", None), (4, "nothing here", None)], "doc_id long, text string, item_id string")
     want = {(1, k) for k in range(6)}
-    for block in (100, 2):
+    for block in (1 << 20, 400):
         assert {(r.doc_id, r.item_id) for r in L.leaked_items(docs, items, block).collect()} == want
     best = max(L.leaked_items(docs, items).collect(), key=lambda r: (r.passage_words, -r.replaced_words))
     assert best.item_id == 3 and best.coverage <= 1.0
