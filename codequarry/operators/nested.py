@@ -4,13 +4,16 @@ Structs, arrays and maps are flattened by Catalyst's generators; their ordinals
 the link columns. JSON text inside them is flattened by a structural index built for a
 whole Arrow batch at once: bitmaps of quotes, brackets and delimiters, strings found by
 the parity of unescaped quotes, nesting depth by prefix sums, member spans by binary
-search among the delimiters of one depth. Texts and members that were encoded once
-more as text are decoded and indexed again, all of a batch together.
+search among the delimiters of one depth. The same index says which texts are JSON: every
+token is looked up in a table by its kind, the token before it and the container around
+it, so depth costs nothing and no text is parsed as a whole. Texts and members that were
+encoded once more as text are decoded and indexed again, all of a batch together.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +31,29 @@ OPEN[list(b"[{")] = True
 CLOSE[list(b"]}")] = True
 
 
+#: Bytes of text that are indexed at once (one longer text is indexed by itself).
+INDEX_BYTES = 1 << 20
+#: Levels below a member from which it is given as its stored text.
+DEEP = 200
+
+# What follows what. Kinds of tokens: { [ } ] , : string other; a string that is a name is NAME,
+# START is before the first one. Containers: root, object, array.
+START, NAME = 0, 9
+KINDS = {c: k for k, c in enumerate("{[}],:\"", 1)}
+KIND = np.full(256, 8, np.uint8)
+KIND[[ord(c) for c in KINDS]] = list(KINDS.values())
+FOLLOWS = np.zeros((10, 3, 9), bool)
+_VALUES = [1, 2, 7, 8]
+FOLLOWS[START, 0, _VALUES] = FOLLOWS[2, 2, _VALUES] = FOLLOWS[5, 2, _VALUES] = FOLLOWS[6, 1, _VALUES] = True
+FOLLOWS[1, 1, [7, 3]] = FOLLOWS[5, 1, 7] = FOLLOWS[NAME, 1, 6] = FOLLOWS[2, 2, 4] = True
+for _k in (3, 4, 7, 8):  # what ends a value
+    FOLLOWS[_k, 1, [5, 3]] = FOLLOWS[_k, 2, [5, 4]] = True
+ESCAPED, HEX = np.zeros(256, bool), np.zeros(256, bool)
+ESCAPED[list(b'"\\/bfnrtu')] = True
+HEX[list(b"0123456789abcdefABCDEF")] = True
+PLAIN = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+
+
 class StructuralIndex:
     """Structure of many JSON texts in one buffer; a node is (text number, start, end)."""
 
@@ -37,30 +63,84 @@ class StructuralIndex:
         self.starts = self.ends - sizes
         self.raw = b"\n".join(texts) + b"\n"
         buf = np.frombuffer(self.raw, np.uint8) if texts else np.zeros(0, np.uint8)
-        place = np.arange(len(buf))
+        place = np.arange(len(buf), dtype=np.int32 if len(buf) < 1 << 31 else np.int64)
         slash = buf == BACKSLASH
         # length of the run of backslashes that ends right before each byte
-        last = np.maximum.accumulate(np.where(slash, -1, place)) if len(buf) else place
-        before = np.empty(len(buf), np.int64)
-        if len(buf):
-            before[0] = 0
-            before[1:] = (place - last)[:-1]
+        last = np.maximum.accumulate(np.where(slash, place.dtype.type(-1), place)) if len(buf) else place
+        before = np.zeros_like(place)
+        before[1:] = (place - last)[:-1]
+        escape = slash & (before % 2 == 0)
         quote = (buf == QUOTE) & (before % 2 == 0)
-        inside = self._since_start(np.cumsum(quote)) & 1
+        inside = self._since_start(np.cumsum(quote, dtype=place.dtype)) & 1
         free = (inside == 0) & ~quote
         opened, closed = OPEN[buf] & free, CLOSE[buf] & free
         # depth of a bracket is the depth of what it encloses
-        deep = self._since_start(np.cumsum(opened.astype(np.int64)) - np.cumsum(closed.astype(np.int64)))
+        deep = self._since_start(np.cumsum(opened.view(np.int8) - closed.view(np.int8), dtype=place.dtype))
         self.buf = buf
-        self.closers = self._by_depth(closed, deep + 1)
         self.commas = self._by_depth((buf == COMMA) & free, deep)
         self.colons = self._by_depth((buf == COLON) & free, deep)
         self.deep = deep
+        self.valid = self._grammar(free, quote & (inside == 1), opened, closed, escape & (inside == 1), inside)
+
+    def _grammar(self, free, strings, opened, closed, escape, inside) -> np.ndarray:
+        """Whether each text is one JSON value."""
+        buf, bad = self.buf, np.zeros(len(self.starts), bool)
+        if not len(buf):
+            return ~bad
+        other = free & ~BLANK[buf] & (KIND[buf] == 8)
+        begin = other.copy()
+        begin[1:] &= ~other[:-1]
+        begin[self.starts] = other[self.starts]
+        at = np.flatnonzero(free & (KIND[buf] < 7) | strings | begin)
+        text = np.searchsorted(self.ends, at, "right")
+        kind = KIND[buf[at]].copy()
+        # the container of a token is the last opened bracket of its depth
+        depth = self.deep[at] - opened[at] + closed[at]
+        opens = np.flatnonzero(opened[at])
+        order = np.lexsort((np.concatenate([at[opens], at]), np.concatenate([self.deep[at[opens]], depth])))
+        source = np.where(order < len(opens), order, -1)
+        level = np.concatenate([self.deep[at[opens]], depth])[order]
+        latest = np.maximum.accumulate(np.where(source >= 0, np.arange(len(order)), -1))
+        around = np.zeros(len(at), np.uint8)
+        ask = np.flatnonzero((order >= len(opens)) & (level > 0))
+        known = ask[(latest[ask] >= 0) & (level[np.maximum(latest[ask], 0)] == level[ask])]
+        around[order[known] - len(opens)] = kind[opens[source[latest[known]]]]
+        first = np.ones(len(at), bool)
+        first[1:] = text[1:] != text[:-1]
+        state = kind.copy()
+        before = np.where(first, START, np.concatenate([[START], kind[:-1]]))
+        state[(kind == 7) & (around == 1) & ((before == 1) | (before == 5))] = NAME
+        before = np.where(first, START, np.concatenate([[START], state[:-1]]))
+        bad[text[~FOLLOWS[before, around, kind]]] = True
+        last = np.flatnonzero(np.concatenate([first[1:], [True]])) if len(at) else at
+        bad[text[last[~np.isin(state[last], (3, 4, 7, 8))]]] = True
+        some = np.zeros(len(bad), bool)
+        some[text] = True
+        # what is still open at the end, control characters and wrong escapes in strings
+        bad |= ~some | (self.deep[self.ends - 1] != 0) | (inside[self.ends - 1] != 0)
+        wrong = (inside == 1) & (buf < 32)
+        e = np.flatnonzero(escape)
+        after = np.concatenate([buf, np.zeros(5, np.uint8)])
+        wrong[e] |= ~ESCAPED[after[e + 1]]
+        u = e[after[e + 1] == ord("u")]
+        for k in range(2, 6):
+            wrong[u] |= ~HEX[after[u + k]]
+        bad[np.searchsorted(self.ends, np.flatnonzero(wrong), "right")] = True
+        # numbers and words
+        stop = np.flatnonzero(other & ~np.concatenate([other[1:], [False]]) | other & (np.isin(np.arange(len(buf)), self.ends - 1))) + 1
+        good: dict[bytes, bool] = {}
+        for n, a, b in zip(text[kind == 8].tolist(), at[kind == 8].tolist(), stop.tolist()):
+            word = self.raw[a:b]
+            if word not in good:
+                good[word] = PLAIN.fullmatch(word) is not None
+            if not good[word]:
+                bad[n] = True
+        return ~bad
 
     def _since_start(self, total: np.ndarray) -> np.ndarray:
         if not len(self.starts):
             return total
-        base = np.where(self.starts > 0, total[np.maximum(self.starts - 1, 0)], 0)
+        base = np.where(self.starts > 0, total[np.maximum(self.starts - 1, 0)], 0).astype(total.dtype)
         return total - np.repeat(base, self.ends - self.starts)
 
     @staticmethod
@@ -112,15 +192,6 @@ class StructuralIndex:
         return out
 
 
-def readable(text: bytes) -> bool:
-    """Exact check: the whole text is JSON."""
-    try:
-        json.loads(text)
-    except (ValueError, RecursionError):
-        return False
-    return True
-
-
 Node = tuple[StructuralIndex, tuple[int, int]]
 
 
@@ -132,25 +203,34 @@ def decode_nested(nodes: list[Node | None]) -> list[Node | None]:
         if not again:
             return nodes
         nodes = list(nodes)
-        good = [(i, t) for i, t in again if readable(t)]
-        for i, _ in again:
-            nodes[i] = None
-        fresh = StructuralIndex([t for _, t in good])
-        for k, (i, _) in enumerate(good):
-            nodes[i] = (fresh, fresh.node(k))
+        fresh = StructuralIndex([t for _, t in again])
+        for k, (i, _) in enumerate(again):
+            nodes[i] = (fresh, fresh.node(k)) if fresh.valid[k] else None
 
 
 def roots(texts: list[str | None]) -> list[Node | None]:
     """A node for each text that can be read as JSON, decoded where it was encoded twice."""
-    raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    keep = [i for i, t in enumerate(raw) if t is not None and readable(t)]
-    index = StructuralIndex([raw[i] for i in keep])
-    out: list[Node | None] = [None] * len(raw)
+    keep = [i for i, t in enumerate(texts) if t is not None]
+    index = StructuralIndex([texts[i].removeprefix("\ufeff").encode("utf-8", "surrogatepass") for i in keep])
+    out: list[Node | None] = [None] * len(texts)
     for k, i in enumerate(keep):
-        out[i] = (index, index.node(k))
+        if index.valid[k]:
+            out[i] = (index, index.node(k))
     return decode_nested(out)
 
 
+def chunks(texts: list[str | None], size: int = INDEX_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most size characters together, or of one text."""
+    start = total = 0
+    for k, t in enumerate(texts):
+        total += len(t or "")
+        if total > size and k > start:
+            yield start, k
+            start, total = k, len(t or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def member(nodes: list[Node | None], name: str) -> list[Node | None]:
     """The named member of each object, decoded; None where there is none."""
     got = []
@@ -161,7 +241,22 @@ def member(nodes: list[Node | None], name: str) -> list[Node | None]:
 
 
 def value(x: Node | None):
-    return None if x is None else json.loads(x[0].text(x[1]))
+    """What a node holds; members nested deeper than DEEP levels as their stored text."""
+    if x is None:
+        return None
+    index, (a, b) = x
+    if int(index.deep[a:b].max()) - int(index.deep[a]) <= DEEP:
+        return _loads(index.raw[a:b])
+    if index.kind((a, b)) != "{":
+        return index.raw[a:b].decode("utf-8", "surrogatepass")
+    return {name: value((index, span)) if index.deep[slice(*span)].max() - index.deep[a] <= DEEP else index.raw[slice(*span)].decode("utf-8", "surrogatepass") for name, span in index.members((a, b)).items()}
+
+
+def _loads(raw: bytes):
+    try:
+        return json.loads(raw)
+    except ValueError:  # a whole number of more digits than the interpreter converts
+        return json.loads(raw, parse_int=float)
 
 
 def children(nodes: list[Node | None], name: str) -> Iterator[tuple[int, str | None, int, dict]]:
@@ -249,13 +344,14 @@ def _json_level(df: DataFrame, name: str, fields: list[tuple[str, str, pa.DataTy
     def run(batches):
         for batch in batches:
             fut, rnd, text = (batch.column(i).to_pylist() for i in range(3))
-            out = []
-            for row, k, n, obj in children(roots(text), name):
-                if bool(key) == (k is None):
-                    continue
-                out.append((fut[row], rnd[row], *[k] * bool(key), *[n] * bool(ordinal), *(f(obj) for *_, f in fields)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            for start, end in chunks(text):
+                out = []
+                for row, k, n, obj in children(roots(text[start:end]), name):
+                    if bool(key) == (k is None):
+                        continue
+                    out.append((fut[start + row], rnd[start + row], *[k] * bool(key), *[n] * bool(ordinal), *(f(obj) for *_, f in fields)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     text = spread(df.select("fut_no", "test_history")).select("fut_no", F.posexplode("test_history.history").alias("pos", "r"))
     text = text.select("fut_no", F.col("pos").cast("long").alias("round_no"), F.col("r.exec_stats").alias("t")).where("t is not null")

@@ -58,6 +58,41 @@ def test_errors_against_json(spark):
     assert {x for x in got if isinstance(x[4], str)} >= {x for x in want if isinstance(x[4], str)}
 
 
+def is_json(text):
+    try:
+        json.loads(text)
+        return True
+    except ValueError:
+        return False
+
+
+def test_grammar_against_json():
+    rng = random.Random(3)
+
+    def value(depth):
+        return rng.choice([lambda: rng.choice(["a", '"q"', "\\", "\t", "ü🚀", "{", "[1", 'x\\"', ",", ":"]), lambda: rng.randint(-9, 9), rng.random, lambda: None, lambda: True, lambda: [value(depth - 1) for _ in range(rng.randint(0, 3))] if depth else 1, lambda: {rng.choice('abc"'): value(depth - 1) for _ in range(2)} if depth else 2])()
+
+    texts = ["", " ", "[,]", '{"a":1,}', '{"a"}', "1 2", '"a" "b"', "}", "[}", '"', "\\", "01", "-", "1.", "NaN", "{[]:1}", '{"a":1:2}', "tru", '"\\u12g4"', '"\\x"', "1,2", ":", '[":"]', '1"a"', "{}{}", "truefalse", "[1,2],3", '"a":1', "[[]", "\x00"]
+    for _ in range(4000):
+        t = json.dumps(value(4), indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randint(0, len(t))
+            t = rng.choice([t[:i], t[:i] + rng.choice('{}[],:"\\ \n1eE.-+tNIu0\x01') + t[i:], t[:i] + t[i + 1 :]])
+        texts.append(t)
+    for size in (1, 50, len(texts)):
+        for k in range(0, len(texts) if size > 1 else 500, size):
+            part = [t.encode() for t in texts[k : k + size]]
+            assert N.StructuralIndex(part).valid.tolist() == [is_json(t) for t in part]
+
+
+def test_depth_loses_nothing(spark):
+    deep = "[" * 60_000 + "]" * 60_000
+    texts = ['{"run_tests_errors": {"t": [{"message": ' + deep + ', "type": "T"}, {"message": "m"}]}}', '{"x": ' + deep + ', "run_tests_errors": {"t": {"message": "n"}}}', '{"run_tests_errors": {"t": {"message": ' + deep[:-1] + "}}}"]
+    got = {(r.round_no, r.error_no, r.type, r.message) for r in N.errors(frame(spark, [texts])).collect()}
+    assert got == {(0, 0, "T", deep), (0, 1, None, "m"), (1, 0, None, "n")}
+    assert list(N.chunks(["a" * 5, None, "b" * 6, "c" * 30, "d"], 10)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
 def test_levels_keep_keys(spark):
     log = json.dumps({
         "run_tests_logs": json.dumps({"t0": {"valid": True, "passed_count": 2}}), "coverage_logs": [{"num_executable_lines": 3, "line_coverage_percentage": 50, "unexecuted_lines": [1, None, 2]}, None],
