@@ -21,25 +21,27 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .stopwords import vote
 
-# Lines that stand in for an answer.
+# Lines that stand in for an answer.
 STAND_INS = ("your code here", "your test here", "your tests here", "add your code here", "write your code here", "insert code here", "code goes here", "test goes here", "tests go here", "todo", "fixme", "tbd", "xxx", "pass", "n a", "na", "none", "null", "nil", "empty", "no output", "no response", "no answer", "placeholder", "to be done", "to be written", "to do", "write test here", "write tests here", "todo write test", "todo write tests", "todo add test", "todo add tests", "todo implement", "not implemented", "notimplemented", "insert test here", "lorem ipsum", "answer", "response", "code", "test", "coming soon", "work in progress", "wip")
 
-# Parts of phrases with which a task is declined, by language. A response without
-# any test that denies something declines, so plain negations are among them.
-REFUSALS = (
-    "can't", "cannot", "can not", "can’t", "won't", "will not", "won’t", "not", "don't", "don’t", "unable", "refuse", "decline", "rather not", "as a language model", "as an ai", "against my policy", "against my guidelines", "my guidelines", "impossible", "not enough information",
-    "nicht", "kein", "keine", "keinen", "keinem", "keiner", "ablehnen", "lehne", "verweigern", "weigere",
-    "ne", "n'est", "refuser", "refuse de", "décliner", "décline", "impossible de",
-    "no", "rechazar", "rechazo", "niego", "declinar", "imposible",
-    "não", "recusar", "recuso", "declinar", "impossível",
-    "не", "нельзя", "отказать", "отказываюсь", "вынужден", "вынуждена", "невозможно",
-)
-REFUSALS_CJK = ("无法", "不能", "不会", "不便", "不可", "不允许", "拒绝", "恕", "未经", "ません", "できかね", "しかね", "お断り", "できない", "控え")
+#: What a word or phrase says in a sentence. A sentence declines if it says so as a whole, or
+#: denies (NEGATION) of the speaker (SELF) an ability, a permission or a will (MODAL).
+SELF, MODAL, NEGATION, DECLINES = 1, 2, 4, 8
+REFUSALS = {
+    SELF: "i|i'm|i'll|i'd|me|my|we|our|ich|mir|mich|meine|meinen|meiner|wir|uns|je|j'ai|moi|mes|nous|yo|mi|mis|eu|mim|meu|minha|minhas|я|мне|меня|мои|мы|нам|我|私|当方|弊",
+    MODAL: "can|could|may|will|would|shall|should|able|let|allow|allows|allowed|permitted|possible|going to|want to|feel comfortable|kann|können|darf|dürfen|möchte|will|werde|werden|möglich|lassen|erlauben|erlaubt|imstande|lage|peut|possible|permet|permettent|autorisé|autorisée|mesure|posible|permiten|permite|capaz|possível|permitem|можно|возможно|позволяют|вправе|能|可|会|便",
+    NEGATION: "not|no|never|nicht|kein|keine|keinen|keinem|keiner|nie|ne|n'|pas|non|ni|nunca|não|nem|не|ни|нет|不|无|未",
+    SELF | MODAL: "puedo|debo|quiero|podré|podemos|voy a|posso|devo|quero|vou|podemos|могу|можем|смогу|буду|хочу|peux|puis|veux|dois|vais|pouvons",
+    MODAL | NEGATION: "can't|cannot|couldn't|won't|wouldn't|shan't|mustn't|нельзя|невозможно",
+    NEGATION | SELF: "i don't|i'm not|i am not|i do not|n'ai|n'aimerais",
+    DECLINES: "unable|not possible|nicht möglich|pas possible|no es posible|não é possível|не возможно|refuse|decline|must pass on|rather not|as a language model|as an ai|against my policy|against my guidelines|my guidelines do not|not enough information|ablehnen|lehne|verweigern|verweigere|weigere|absehen|refuser|je refuse|refusons|décliner|décline|rechazar|rechazo|me niego|declino|recusar|recuso|me nego|отказать|отказаться|отказываюсь|отказываемся|无法|不能|不会|不便|不可以|不允许|拒绝|恕|できません|できかね|しかね|ません|お断り|できない|控え",
+}
 
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿ﾠ\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 FENCE = re.compile(r"^\s*(?:>\s*)*(?:```+|~~~+)\s*[\w+#.-]*\s*$")
 WORDS = re.compile(r"[^\W_]+")
 PHRASE = re.compile(r"[぀-ヿ一-鿿]|(?:(?![぀-ヿ一-鿿])[^\W\d_])+(?:['’][^\W\d_]+)*")
+SENTENCE = re.compile(r"[.!?。！？]+(?=\s|$)|[。！？]|\n\s*\n")
 CODE_LINE = re.compile(r"^(?:\s+\S.*|(?:import|from|class|def|async|await|with|for|while|if|elif|else|try|except|finally|return|raise|assert|global|lambda|pass|del)\b.*|@\w.*|#.*|[\w.]+\s*(?:[-+*/%|&^]|//|\*\*)?=(?!=).*|[\w.]+\(.*|[)\]}]+.*|[\"']{3}.*)$")
 PROSE_END = tuple(".!?:;…。！？：；」』）)]}`'\"”’»*")
 TEST_CODE = re.compile(r"^\s*(?:async\s+def|def|class)\s+\w|^\s*(?:self\.)?assert\w*\b|\.assert\w+\(|^\s*(?:import|from)\s+\w+", re.M)
@@ -99,20 +101,20 @@ class SuffixAutomaton:
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton over words."""
+    """Aho-Corasick automaton over words; phrases bring marks that are joined."""
 
-    def __init__(self, phrases):
+    def __init__(self, phrases, marks=None):
         self.next: list[dict[str, int]] = [{}]
-        self.final = [False]
-        for phrase in phrases:
+        self.mark = [0]
+        for phrase, mark in zip(phrases, marks or [1] * len(phrases)):
             state = 0
             for word in phrase:
                 if word not in self.next[state]:
                     self.next[state][word] = len(self.next)
                     self.next.append({})
-                    self.final.append(False)
+                    self.mark.append(0)
                 state = self.next[state][word]
-            self.final[state] = True
+            self.mark[state] |= mark
         self.fail = [0] * len(self.next)
         todo = deque(self.next[0].values())
         while todo:
@@ -122,21 +124,24 @@ class PhraseAutomaton:
                 while f and word not in self.next[f]:
                     f = self.fail[f]
                 self.fail[to] = self.next[f].get(word, 0) if self.next[f].get(word, 0) != to else 0
-                self.final[to] = self.final[to] or self.final[self.fail[to]]
+                self.mark[to] |= self.mark[self.fail[to]]
                 todo.append(to)
 
-    def accepts(self, words) -> bool:
-        state = 0
+    def marks(self, words) -> int:
+        """The marks of all phrases that the words hold."""
+        state = got = 0
         for word in words:
             while state and word not in self.next[state]:
                 state = self.fail[state]
             state = self.next[state].get(word, 0)
-            if self.final[state]:
-                return True
-        return False
+            got |= self.mark[state]
+        return got
 
+    def accepts(self, words) -> bool:
+        return self.marks(words) != 0
 
-REFUSAL_AUTOMATON = PhraseAutomaton([PHRASE.findall(p) for p in REFUSALS] + [PHRASE.findall(p) for p in REFUSALS_CJK])
+
+REFUSAL_AUTOMATON = PhraseAutomaton(*zip(*((PHRASE.findall(p), mark) for mark, some in REFUSALS.items() for p in some.split("|"))))
 
 
 # ---------------------------------------------------------------- parts of a response
@@ -189,8 +194,12 @@ def is_empty(text: str | None) -> bool:
     """Nothing but blanks, invisible characters, fences or one stand-in line."""
     if text is None:
         return True
-    lines = [blank(x) for x in INVISIBLE.sub("", text).split("\n") if not FENCE.match(INVISIBLE.sub("", x))]
-    left = [x for x in lines if x]
+    left: list[str] = []
+    for line in INVISIBLE.sub("", text).split("\n"):
+        if line.strip() and not FENCE.match(line):
+            left.append(line.strip())
+            if len(left) > 1 and any(WORDS.search(x) for x in left):
+                return False
     if not left:
         return True
     words = " ".join(w for x in left for w in WORDS.findall(x.lower()))
@@ -201,12 +210,16 @@ def is_copy(instruction: str | None, text: str, least: int = 3, share: float = 0
     """At least `share` of the response's words lie in runs of `least` words of the instruction."""
     if not instruction:
         return False
-    words, source = WORDS.findall(text.lower()), WORDS.findall(instruction.lower())
+    words, whole = WORDS.findall(text.lower()), instruction.lower()
+    allowed = len(words) - share * len(words)
+    for word in words:
+        if word not in whole:  # not even as part of a word
+            allowed -= 1
+            if allowed < 0:
+                return False  # coverage can't reach the share
+    source = WORDS.findall(whole)
     if not words or not source:
         return False
-    known = set(source)
-    if sum(w in known for w in words) < share * len(words):
-        return False  # coverage can't reach the share
     return SuffixAutomaton(source).covered(words, min(least, len(words), len(source))) >= share * len(words)
 
 
@@ -214,9 +227,14 @@ def has_test(text: str) -> bool:
     return bool(TEST_CODE.search(text))
 
 
+def declines(text: str) -> bool:
+    """Whether a sentence of the text declines."""
+    return any((m := REFUSAL_AUTOMATON.marks(PHRASE.findall(x))) & DECLINES or m & 7 == 7 for x in SENTENCE.split(text.lower().replace("’", "'")))
+
+
 def is_refusal(text: str) -> bool:
     """Declines and gives no test."""
-    return not has_test(text) and REFUSAL_AUTOMATON.accepts(PHRASE.findall(text.lower()))
+    return not has_test(text) and declines(text)
 
 
 def open_delimiters(code: str) -> bool:
@@ -254,17 +272,16 @@ def code_cut(code: str) -> bool:
     body = code.strip("\n")
     if not body.strip() or not has_test(body):
         return False
-    if open_delimiters(body):
-        return True
     last = max(i for i, x in enumerate(body.split("\n")) if x.strip()) + 1
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(body)
     except (SyntaxError, ValueError) as e:
-        return getattr(e, "lineno", None) is None or e.lineno >= last
+        # only code that doesn't parse can have an open delimiter
+        return open_delimiters(body) or getattr(e, "lineno", None) is None or e.lineno >= last
     except (RecursionError, MemoryError):
-        return False
+        return open_delimiters(body)
     node: ast.AST = tree
     while isinstance(getattr(node, "body", None), list) and node.body:
         node = node.body[-1]
@@ -276,9 +293,9 @@ def code_cut(code: str) -> bool:
     return False
 
 
-def is_truncated(text: str) -> bool:
-    """Ends before its code or its last sentence is complete."""
-    code, prose, is_open = parts(text)
+def is_truncated(text: str, split: tuple[list[str], list[str], bool] | None = None) -> bool:
+    """Ends before its code or its last sentence is complete; split: the text's parts."""
+    code, prose, is_open = split or parts(text)
     if is_open:
         return True
     if any(code_cut(c) for c in code):
@@ -289,9 +306,9 @@ def is_truncated(text: str) -> bool:
     return not code and not has_test(text) and not is_refusal(text)
 
 
-def remarks(text: str, instruction: str = "") -> str:
+def remarks(text: str, instruction: str = "", split: tuple[list[str], list[str], bool] | None = None) -> str:
     """The prose and the comments of a response, without lines that the instruction has too."""
-    code, prose, _ = parts(text)
+    code, prose, _ = split or parts(text)
     given = {x.strip() for x in instruction.split("\n")}
     lines = [x for p in prose for x in p.split("\n")]
     own = [x for c in code for x in c.split("\n") if x.strip() not in given]
@@ -311,12 +328,12 @@ def request(instruction: str) -> str:
     return "\n".join(out)
 
 
-def is_foreign(instruction: str | None, text: str) -> bool:
+def is_foreign(instruction: str | None, text: str, split: tuple[list[str], list[str], bool] | None = None) -> bool:
     """The remarks are in another natural language than the instruction."""
-    if not instruction:
+    if not instruction or (given := vote(remarks(text, instruction, split))) is None:
         return False
-    asked, given = vote(request(instruction)), vote(remarks(text, instruction))
-    return asked is not None and given is not None and asked != given
+    asked = vote(request(instruction))
+    return asked is not None and asked != given
 
 
 def defect(instruction: str | None, response: str | None) -> str | None:
@@ -327,9 +344,10 @@ def defect(instruction: str | None, response: str | None) -> str | None:
         return "copy"
     if is_refusal(response):
         return "refusal"
-    if is_truncated(response):
+    split = parts(response)
+    if is_truncated(response, split):
         return "truncated"
-    if is_foreign(instruction, response):
+    if is_foreign(instruction, response, split):
         return "other_language"
     return None
 

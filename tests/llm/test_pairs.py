@@ -50,6 +50,18 @@ def test_defects(response, kind):
     assert P.defect(ASK, response) == kind
 
 
+@pytest.mark.parametrize("text, want", [
+    ("The function does not close the file, so the test should look at that and", False), ("No case fails here, but the second one can", False), ("Ne compare pas les deux valeurs", False), ("Nicht jede Zahl ist gerade", False),
+    ("My guidelines do not let me write that.", True), ("Dafür darf ich keinen Test schreiben", True), ("je ne peux pas vous aider", True), ("no puedo ayudar con esa petición", True), ("я не могу помочь", True), ("我无法协助完成这个请求。", True), ("Leider kann ich\ndabei nicht helfen.", True), ("I can help. It is not hard.", False),
+])
+def test_declining_needs_the_speaker_or_a_whole_phrase(text, want):
+    assert P.declines(text) == want
+
+
+def test_a_bare_negation_is_no_refusal():
+    assert P.defect(ASK, "The function does not close the file, so the test should look at that and") == "truncated"
+
+
 def test_votes():
     assert vote("comparar com a referência") == "pt" and vote("comparar con la referencia y el caso") == "es" and vote("") is None and vote("x = 1") is None and vote("сравнить с эталоном") == "ru" and vote("第一个用例检查常规路径") == "zh"
 
