@@ -214,6 +214,38 @@ def map_cycle_nodes(df: DataFrame, key: str, graph: str) -> DataFrame:
     return out.mapInArrow(run, "key long, node_id string").distinct().withColumnRenamed("key", key)
 
 
+def map_cycle_links(df: DataFrame, key: str, graph: str) -> DataFrame:
+    """Distinct (key, cycle, parent, child) of the links that lie on a cycle of each row's graph.
+
+    Those are the back edges of the search and what they close: links inside a strongly
+    connected component, and self links. cycle is the least node of the component, so the
+    result doesn't depend on where the search began. Cases as for map_cycle_nodes.
+    """
+    schema = pa.schema([("key", pa.int64()), ("cycle", pa.string()), ("parent", pa.string()), ("child", pa.string())])
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                for k, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    links = clean_graph(g)
+                    for nodes in components(links):
+                        scc, _, back = colour_search(links, nodes)
+                        if not back:
+                            continue
+                        least: dict[int, str] = {}
+                        for node in nodes:
+                            least[scc[node]] = min(least.get(scc[node], node), node)
+                        for parent in nodes:
+                            for child in links.get(parent, ()):
+                                if scc[parent] == scc[child]:
+                                    yield k, least[scc[parent]], parent, child
+
+        return _batches(rows(), schema)
+
+    out = df.select(F.col(key).cast("long").alias("key"), F.col(graph).alias("graph"))
+    return out.mapInArrow(run, "key long, cycle string, parent string, child string").distinct().withColumnRenamed("key", key)
+
+
 def map_hierarchy(df: DataFrame, key: str, graph: str, types: str) -> DataFrame:
     """One row per graph, root and path: the full hierarchy of each row's graph.
 
@@ -338,11 +370,12 @@ def _strong(e: DataFrame) -> DataFrame:
 
 
 def edge_hierarchy(edges: DataFrame, parent: str = "parent", child: str = "child", local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(component, root, node_id, depth, path, on_cycle): hierarchy of an edge table.
+    """(component, root, node_id, depth, path, on_cycle, descendants): hierarchy of an edge table.
 
     Components of up to local_edges edges are co-located and searched in one task
     each; larger ones grow by a frontier join per level, so a component of a third of
-    all rows stays spread. Null ends are no links, repeated links count once.
+    all rows stays spread. Both give the same rows. Null ends are no links, repeated
+    links count once, an empty table gives no row, other columns are not read.
     """
     e = edges.select(F.col(parent).cast("string").alias("u"), F.col(child).cast("string").alias("v")).where("u is not null and v is not null").distinct()
     comp = cut_lineage(connected_components(e, "u", "v"))
@@ -350,7 +383,7 @@ def edge_hierarchy(edges: DataFrame, parent: str = "parent", child: str = "child
     size = tagged.groupBy("component").agg(F.count("*").alias("n"))
     small = tagged.join(size.where(F.col("n") <= local_edges), "component", "left_semi")
     large = tagged.join(size.where(F.col("n") > local_edges), "component", "left_semi")
-    ddl = "component string, root string, node_id string, depth long, path array<string>, on_cycle boolean"
+    ddl = "component string, root string, node_id string, depth long, path array<string>, on_cycle boolean, descendants array<string>"
 
     def search(pdf):
         import pandas as pd
@@ -361,8 +394,9 @@ def edge_hierarchy(edges: DataFrame, parent: str = "parent", child: str = "child
         links = {u: sorted(vs) for u, vs in sorted(links.items())}
         nodes = sorted(set(links) | {v for vs in links.values() for v in vs})
         scc, cyclic, _ = colour_search(links, nodes)
-        out = [(pdf["component"].iloc[0], root, p[-1], len(p) - 1, list(p), p[-1] in cyclic) for root in start_nodes(links, nodes, scc) for p in paths(links, root)]
-        return pd.DataFrame(out, columns=["component", "root", "node_id", "depth", "path", "on_cycle"])
+        below = {n: descendants(links, n) for n in nodes}
+        out = [(pdf["component"].iloc[0], root, p[-1], len(p) - 1, list(p), p[-1] in cyclic, below[p[-1]]) for root in start_nodes(links, nodes, scc) for p in paths(links, root)]
+        return pd.DataFrame(out, columns=["component", "root", "node_id", "depth", "path", "on_cycle", "descendants"])
 
     done = small.groupBy("component").applyInPandas(search, ddl)
     if large.isEmpty():
@@ -383,6 +417,13 @@ def edge_hierarchy(edges: DataFrame, parent: str = "parent", child: str = "child
         levels.append(front)
         step = front.join(large.select(F.col("u").alias("node_id"), "v"), "node_id").where(~F.array_contains("path", F.col("v")))
         front = cut_lineage(step.select("component", "root", F.col("v").alias("node_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("v")).alias("path")))
-    grown = reduce(DataFrame.union, levels).join(cyclic.withColumn("on_cycle", F.lit(True)), "node_id", "left")
-    grown = grown.select("component", "root", "node_id", "depth", "path", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
-    return done.union(grown)
+    grown = reduce(DataFrame.union, levels)
+    # a node has below it what follows a node of its own strongly connected component on some
+    # path (a path from a root through it may have met the rest before), and that component
+    follows = grown.select(F.explode("path").alias("w"), F.col("node_id").alias("y")).where("w <> y").distinct()
+    follows = follows.join(label.select(F.col("node_id").alias("w"), "scc"), "w").select("scc", "y")
+    members = label.join(cyclic, "node_id", "left_semi").select("scc", F.col("node_id").alias("y"))
+    below = follows.union(members).groupBy("scc").agg(F.array_sort(F.collect_set("y")).alias("descendants"))
+    of_node = label.join(below, "scc", "left").select("node_id", F.coalesce("descendants", F.array().cast("array<string>")).alias("descendants"))
+    grown = grown.join(cyclic.withColumn("on_cycle", F.lit(True)), "node_id", "left").join(of_node, "node_id")
+    return done.union(grown.select("component", "root", "node_id", "depth", "path", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), "descendants"))

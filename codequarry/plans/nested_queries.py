@@ -1,5 +1,7 @@
 """Queries of the nested-record and hierarchy operators, with their SQL."""
 
+from pyspark.sql import functions as F
+
 from ..operators import hierarchy, nested
 from ..session import load
 
@@ -13,13 +15,21 @@ def _graphs(spark, sf_dir):
 
 
 def p7_hierarchy(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     out = hierarchy.map_hierarchy(_graphs(spark, sf_dir), "graph_no", "graph", "id2type")
     return out.withColumn("path", F.array_join("path", " > ")).withColumn("descendants", F.array_join("descendants", ","))
 
 
+def p7_edge_hierarchy(spark, sf_dir):
+    """The stored graphs as one edge table, each node named with its graph."""
+    g = _graphs(spark, sf_dir).select("graph_no", F.explode("graph").alias("u", "vs")).select("graph_no", "u", F.explode("vs").alias("v")).where("v is not null")
+    name = lambda c: F.concat_ws(":", F.col("graph_no").cast("string"), c)
+    out = hierarchy.edge_hierarchy(g.select(name("u").alias("parent"), name("v").alias("child")))
+    return out.withColumn("path", F.array_join("path", " > ")).withColumn("descendants", F.array_join("descendants", ","))
+
+
 QUERIES = {
+    "p7_edge_hierarchy": p7_edge_hierarchy,
+    "p7_cycle_links": lambda s, d: hierarchy.map_cycle_links(_graphs(s, d), "graph_no", "graph"),
     "p3_found": lambda s, d: nested.errors(_fut(s, d)).select("fut_no", "round_no", "test_id", "error_no").distinct(),
     "p3_records": lambda s, d: nested.records(_fut(s, d)),
     "p3_rounds": lambda s, d: nested.rounds(_fut(s, d)),
@@ -63,7 +73,28 @@ e AS (SELECT DISTINCT graph_no, u, v FROM (SELECT graph_no, e.key AS u, unnest(e
 nodes AS (SELECT graph_no, u AS x FROM e UNION SELECT graph_no, v FROM e UNION SELECT graph_no, e.key FROM e0),
 reach AS (SELECT graph_no, u, v FROM e UNION SELECT r.graph_no, r.u, e.v FROM reach r JOIN e ON e.graph_no = r.graph_no AND e.u = r.v)"""
 
+_ROOTED = """,
+entered AS (SELECT DISTINCT e.graph_no, e.v AS x FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.graph_no = e.graph_no AND r.u = e.v AND r.v = e.u)),
+entered_cycle AS (SELECT DISTINCT r.graph_no, r.v AS x FROM entered n JOIN reach r ON r.graph_no = n.graph_no AND r.u = n.x JOIN reach b ON b.graph_no = r.graph_no AND b.u = r.v AND b.v = r.u),
+open AS (SELECT * FROM nodes EXCEPT SELECT * FROM entered EXCEPT SELECT * FROM entered_cycle),
+roots AS (SELECT o.graph_no, o.x FROM open o WHERE NOT EXISTS (SELECT 1 FROM reach a JOIN reach b ON b.graph_no = a.graph_no AND b.u = a.v AND b.v = a.u WHERE a.graph_no = o.graph_no AND a.u = o.x AND a.v < o.x)),
+p AS (SELECT graph_no, x AS root, x AS node_id, [x] AS path FROM roots UNION ALL
+ SELECT p.graph_no, p.root, e.v, list_append(p.path, e.v) FROM p JOIN e ON e.graph_no = p.graph_no AND e.u = p.node_id WHERE NOT list_contains(p.path, e.v)),
+d AS (SELECT graph_no, u, string_agg(v, ',' ORDER BY v) AS descendants FROM reach GROUP BY graph_no, u),
+c AS (SELECT graph_no, u FROM reach WHERE u = v)"""
+
+_NAMED = _REACH.replace("SELECT DISTINCT graph_no, u, v FROM (SELECT graph_no, e.key AS u, unnest(e.value) AS v FROM e0)", "SELECT DISTINCT graph_no, graph_no || ':' || u AS u, graph_no || ':' || v AS v FROM (SELECT graph_no, e.key AS u, unnest(e.value) AS v FROM e0)").replace(" UNION SELECT graph_no, e.key FROM e0", "")
+
 SQL = {
+    "p7_edge_hierarchy": _NAMED + """,
+b AS (SELECT graph_no, u, v FROM e UNION SELECT graph_no, v, u FROM e),
+w AS (SELECT graph_no, x AS u, x AS v FROM nodes UNION SELECT w.graph_no, w.u, b.v FROM w JOIN b ON b.graph_no = w.graph_no AND b.u = w.v),
+m AS (SELECT graph_no, u, min(v) AS component FROM w GROUP BY graph_no, u)""" + _ROOTED + """
+SELECT m.component, p.root, p.node_id, len(p.path) - 1 AS depth, array_to_string(p.path, ' > ') AS path, c.u IS NOT NULL AS on_cycle, coalesce(d.descendants, '') AS descendants
+FROM p JOIN m ON m.graph_no = p.graph_no AND m.u = p.node_id LEFT JOIN d ON d.graph_no = p.graph_no AND d.u = p.node_id LEFT JOIN c ON c.graph_no = p.graph_no AND c.u = p.node_id""",
+    "p7_cycle_links": _REACH + """,
+mutual AS (SELECT a.graph_no, a.u, min(least(a.u, a.v)) AS cycle FROM reach a JOIN reach b ON b.graph_no = a.graph_no AND b.u = a.v AND b.v = a.u GROUP BY a.graph_no, a.u)
+SELECT DISTINCT e.graph_no, m.cycle, e.u AS parent, e.v AS child FROM e JOIN reach r ON r.graph_no = e.graph_no AND r.u = e.v AND r.v = e.u JOIN mutual m ON m.graph_no = e.graph_no AND m.u = e.u""",
     "p3_found": _ERRORS + " SELECT DISTINCT fut_no, round_no, test_id, n AS error_no FROM o WHERE json_type(o) = 'OBJECT'",
     "p3_records": """SELECT DISTINCT fut_no, unit_no, function_id.identifier AS function_id, file.file_module.module_id.identifier AS module_id, file.file_module.module_type AS module_type,
  file.file_module.repo.repo_org AS repo_org, file.file_module.repo.repo_name AS repo_name, file.file_module.repo.repo_id AS repo_id, file.file_module.repo.local_repo_path AS local_repo_path,
@@ -79,15 +110,7 @@ SQL = {
  (o -> '$.line_coverage_percentage')::DOUBLE AS line_coverage_percentage, (o -> '$.branch_coverage_percentage')::DOUBLE AS branch_coverage_percentage FROM o WHERE json_type(o) = 'OBJECT'""",
     "p3_captured_calls": _LISTED.replace("{member}", "captured_arg_logs") + " SELECT DISTINCT fut_no, round_no, n AS call_no, o ->> '$.func_name' AS func_name FROM o WHERE json_type(o) = 'OBJECT'",
     "p7_found": _REACH + " SELECT DISTINCT graph_no, u AS node_id FROM reach WHERE u = v",
-    "p7_hierarchy": _REACH + """,
-entered AS (SELECT DISTINCT e.graph_no, e.v AS x FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.graph_no = e.graph_no AND r.u = e.v AND r.v = e.u)),
-entered_cycle AS (SELECT DISTINCT r.graph_no, r.v AS x FROM entered n JOIN reach r ON r.graph_no = n.graph_no AND r.u = n.x JOIN reach b ON b.graph_no = r.graph_no AND b.u = r.v AND b.v = r.u),
-open AS (SELECT * FROM nodes EXCEPT SELECT * FROM entered EXCEPT SELECT * FROM entered_cycle),
-roots AS (SELECT o.graph_no, o.x FROM open o WHERE NOT EXISTS (SELECT 1 FROM reach a JOIN reach b ON b.graph_no = a.graph_no AND b.u = a.v AND b.v = a.u WHERE a.graph_no = o.graph_no AND a.u = o.x AND a.v < o.x)),
-p AS (SELECT graph_no, x AS root, x AS node_id, [x] AS path FROM roots UNION ALL
- SELECT p.graph_no, p.root, e.v, list_append(p.path, e.v) FROM p JOIN e ON e.graph_no = p.graph_no AND e.u = p.node_id WHERE NOT list_contains(p.path, e.v)),
-d AS (SELECT graph_no, u, string_agg(v, ',' ORDER BY v) AS descendants FROM reach GROUP BY graph_no, u),
-c AS (SELECT graph_no, u FROM reach WHERE u = v),
+    "p7_hierarchy": _REACH + _ROOTED + """,
 t0 AS (SELECT DISTINCT graph_no, unnest(map_entries(id2type)) AS t FROM call_graphs)
 SELECT p.graph_no, p.root, p.node_id, t0.t.value AS node_type, len(p.path) - 1 AS depth, array_to_string(p.path, ' > ') AS path, c.u IS NOT NULL AS on_cycle, coalesce(d.descendants, '') AS descendants
 FROM p LEFT JOIN d ON d.graph_no = p.graph_no AND d.u = p.node_id LEFT JOIN c ON c.graph_no = p.graph_no AND c.u = p.node_id LEFT JOIN t0 ON t0.graph_no = p.graph_no AND t0.t.key = p.node_id""",

@@ -64,25 +64,39 @@ def test_rows(spark):
         ("a", "a", "FUNCTION", 0, ("a",), True, ("a", "b", "c")), ("a", "b", None, 1, ("a", "b"), True, ("a", "b", "c")), ("a", "c", None, 2, ("a", "b", "c"), False, ()), ("d", "d", None, 0, ("d",), False, ()),
     }
     assert H.map_cycle_nodes(df.limit(0), "graph_no", "graph").count() == 0
+    links = {tuple(r) for r in H.map_cycle_links(df, "graph_no", "graph").collect()}
+    assert links == {(1, "a", "a", "b"), (1, "a", "b", "a"), (4, "s", "s", "s"), (None, "q", "q", "q")}
+    assert H.map_cycle_links(df.limit(0), "graph_no", "graph").count() == 0
 
 
-@pytest.mark.parametrize("local_edges", [0, 10_000])
-def test_edge_tables_alike_for_local_and_distributed(spark, local_edges):
-    rng = random.Random(3)
-    links = {(f"{g}.{a}", f"{g}.{b}") for g in range(4) for a, bs in random_graph(rng, 5).items() for b in bs}
+def random_links(seed):
+    rng = random.Random(seed)
+    return {(f"{g}.{a}", f"{g}.{b}") for g in range(4) for a, bs in random_graph(rng, 5).items() for b in bs}
+
+
+def whole_rows(graph):
+    """The full hierarchy of a graph by the search in memory."""
+    out = set()
+    for nodes in H.components(graph):
+        scc, cyclic, _ = H.colour_search(graph, nodes)
+        for root in H.start_nodes(graph, nodes, scc):
+            out |= {(min(nodes), root, p[-1], len(p) - 1, p, p[-1] in cyclic, tuple(H.descendants(graph, p[-1]))) for p in H.paths(graph, root)}
+    return out
+
+
+@pytest.mark.parametrize("seed, local_edges", [(3, 0), (3, 10_000), (8, 4)])
+def test_edge_tables_alike_for_local_and_distributed(spark, seed, local_edges):
+    links = random_links(seed)
     edges = spark.createDataFrame([*links, *links, (None, "x"), ("x", None)], "parent string, child string")
     graph = {}
     for a, b in sorted(links):
         graph.setdefault(a, []).append(b)
-    got = H.edge_hierarchy(edges, local_edges=local_edges).collect()
+    got = {(r.component, r.root, r.node_id, r.depth, tuple(r.path), r.on_cycle, tuple(r.descendants)) for r in H.edge_hierarchy(edges, local_edges=local_edges).collect()}
+    assert got == whole_rows(graph)
+    assert {x[2] for x in got} == {n for e in links for n in e}
     cyclic = brute_cycles(graph)
-    assert {r.node_id for r in got if r.on_cycle} == cyclic & {r.node_id for r in got}
-    for r in got:
-        assert r.depth == len(r.path) - 1 and r.path[0] == r.root and r.path[-1] == r.node_id and len(set(r.path)) == len(r.path)
-        assert all(b in graph.get(a, ()) for a, b in zip(r.path, r.path[1:]))
+    assert {x[2] for x in got if x[5]} == cyclic
     assert {r.node_id for r in H.distributed_cycle_nodes(edges).collect()} == cyclic
-    if local_edges:
-        assert {r.node_id for r in got} == {n for e in links for n in e}
 
 
 def test_components(spark):
