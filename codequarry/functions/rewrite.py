@@ -130,6 +130,26 @@ def absolute_import(module: str | None, level: int, package: str) -> str | None:
     return ".".join([*base, *([module] if module else [])])
 
 
+def imports_rewritten(text: str, package: str, stars: dict[tuple[int, str | None], list[str]]) -> str:
+    """Relative imports made absolute from a package (dotted), and each * that stars, by level and
+    module, explains replaced by its names. A text without such an import stays as it is."""
+    tree, _ = tree_of(text)
+    hit = [n for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and (n.level or n.names[0].name == "*" and stars.get((n.level, n.module)))] if tree else []
+    if not hit:
+        return text
+    lines = text.removeprefix("\ufeff").splitlines(keepends=True)
+    for node in sorted(hit, key=lambda n: (n.lineno, n.col_offset), reverse=True):
+        names = stars.get((node.level, node.module)) if node.names[0].name == "*" else None
+        aliases = [ast.alias(n) for n in names] if names else node.names
+        module = absolute_import(node.module, node.level, package)
+        new = ast.ImportFrom(module, aliases, 0) if module else ast.ImportFrom(node.module, aliases, node.level)
+        # columns count bytes
+        first, last = lines[node.lineno - 1].encode(), lines[node.end_lineno - 1].encode()
+        joined = first[: node.col_offset] + ast.unparse(new).encode() + last[node.end_col_offset :]
+        lines[node.lineno - 1 : node.end_lineno] = [joined.decode()]
+    return "".join(lines)
+
+
 def without_body(code: str) -> str:
     """A function's signature and docstring with pass for the rest."""
 

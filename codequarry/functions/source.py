@@ -91,17 +91,6 @@ def find_definition(tree: ast.AST, name: str, functions_only: bool = False) -> a
     return next((n for n in ast.walk(tree) if isinstance(n, kinds) and n.name == name), None)
 
 
-def body_imports(node: ast.AST) -> list[ast.stmt]:
-    """Imports in the body of a definition and of definitions nested in it."""
-    out: list[ast.stmt] = []
-    for s in node.body:
-        if isinstance(s, (ast.Import, ast.ImportFrom)):
-            out.append(s)
-        elif isinstance(s, (*FUNCTIONS, ast.ClassDef)):
-            out += body_imports(s)
-    return out
-
-
 # ---------------------------------------------------------------- members, imports, calls
 
 
@@ -120,15 +109,17 @@ def members(tree: ast.Module) -> list[str]:
     return out
 
 
-def imports(tree: ast.AST) -> list[dict]:
-    """One row per imported name: level, module, name (null for import a.b), alias (the bound name), is_top."""
+def imports(tree: ast.Module) -> list[dict]:
+    """One row per imported name: level, module, name (null for import a.b), alias (the bound name),
+    is_top, and orig_idx of the top-level statement it stands in."""
     out = []
-    top = {id(n) for n in getattr(tree, "body", ())}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            out += [{"level": 0, "module": a.name, "name": None, "alias": a.asname or a.name.split(".")[0], "is_top": id(node) in top} for a in node.names]
-        elif isinstance(node, ast.ImportFrom):
-            out += [{"level": node.level, "module": node.module, "name": a.name, "alias": a.asname or a.name, "is_top": id(node) in top} for a in node.names]
+    for k, top in enumerate(tree.body):
+        for node in ast.walk(top):
+            where = {"is_top": node is top, "orig_idx": k}
+            if isinstance(node, ast.Import):
+                out += [{"level": 0, "module": a.name, "name": None, "alias": a.asname or a.name.split(".")[0]} | where for a in node.names]
+            elif isinstance(node, ast.ImportFrom):
+                out += [{"level": node.level, "module": node.module, "name": a.name, "alias": a.asname or a.name} | where for a in node.names]
     return out
 
 
@@ -234,13 +225,24 @@ def defined(s: ast.stmt) -> list[str]:
     return []
 
 
+def source_slice(lines: list[str], s: ast.stmt) -> str:
+    """The source of a statement with its decorators, by whole lines."""
+    first = min([s.lineno, *(d.lineno for d in getattr(s, "decorator_list", ()))])
+    return "".join(lines[first - 1 : s.end_lineno]).rstrip("\n")
+
+
+def blocks(tree: ast.Module, text: str) -> list[dict]:
+    """The top-level statements: ord, name (of a function or class) and code (source slice)."""
+    lines = text.removeprefix("\ufeff").splitlines(keepends=True)
+    return [{"ord": k, "name": s.name if isinstance(s, (*FUNCTIONS, ast.ClassDef)) else None, "code": source_slice(lines, s)} for k, s in enumerate(tree.body)]
+
+
 def statements(tree: ast.Module, text: str) -> list[dict]:
     """idx, orig_idx, kind, code (source slice), defines, uses, late (names resolve at the file's end)."""
     lines = text.removeprefix("﻿").splitlines(keepends=True)
     out = []
     for idx, (orig, s) in enumerate(flat(tree.body)):
-        first = min([s.lineno, *(d.lineno for d in getattr(s, "decorator_list", ()))])
-        code = "".join(lines[first - 1 : s.end_lineno]).rstrip("\n") if hasattr(s, "end_lineno") and s.end_lineno else ast.unparse(s)
+        code = source_slice(lines, s) if hasattr(s, "end_lineno") and s.end_lineno else ast.unparse(s)
         kind = type(s).__name__
         out.append({
             "idx": idx, "orig_idx": orig, "kind": kind, "code": code, "defines": defined(s), "uses": freevars.dependency_names(s),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import source
 from ..functions.identifiers import identifier_from_path, is_hidden
-from ..session import spread
+from ..session import cut_lineage, spread
 
 # Words of a docstring, tokens of a body, starts of a name and substrings of a
 # code with which a unit is left out.
@@ -43,27 +43,63 @@ def python_files(files: DataFrame, content: str = "file_content") -> DataFrame:
     return f.select(F.col("file_no").cast("long").alias("file_no"), "repo_id", "rel_path", identifier_from_path("rel_path").alias("module_id"), F.col(content).alias("text"))
 
 
-def parsed(files: DataFrame, rows_of, fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """KEYS and fields of the rows that rows_of(tree, module_id, text) gives for each file that
-    parses. Exact repeats of a file are read once."""
-    schema = pa.schema([(n, t) for n, _, t in [*KEYS, *fields]])
-    names = [n for n, *_ in fields]
+_TEXT, _LONG = ("string", pa.string()), ("long", pa.int64())
+_NAMES = ("array<string>", pa.list_(pa.string()))
+#: What one parse gives: level to the fields of its rows, and the rows of a tree, module and text.
+LEVELS = {
+    "units": (FEATURES, lambda tree, module, text: source.units(tree, module)),
+    "members": ([("ord", *_LONG), ("name", *_TEXT)], lambda tree, module, text: [{"ord": k, "name": n} for k, n in enumerate(source.members(tree))]),
+    "imports": ([("level", *_LONG), ("module", *_TEXT), ("name", *_TEXT), ("alias", *_TEXT), ("is_top", "boolean", pa.bool_()), ("orig_idx", *_LONG)], lambda tree, module, text: source.imports(tree)),
+    "calls": ([("caller", *_TEXT), ("callee", *_TEXT)], lambda tree, module, text: source.calls(tree, module)),
+    "statements": (
+        [("idx", *_LONG), ("orig_idx", *_LONG), ("kind", *_TEXT), ("code", *_TEXT), ("defines", *_NAMES), ("uses", *_NAMES), ("late", "boolean", pa.bool_()), ("is_wildcard", "boolean", pa.bool_())],
+        lambda tree, module, text: source.statements(tree, text),
+    ),
+    "blocks": ([("ord", *_LONG), ("name", *_TEXT), ("code", *_TEXT)], lambda tree, module, text: source.blocks(tree, text)),
+}
+#: Column of the parsed levels in what parse_once gives.
+PARSED = "parsed"
+
+
+def parse_once(files: DataFrame, *levels: str) -> DataFrame:
+    """file_no, repo_id, rel_path, module_id and the rows of some levels of every file, as arrays.
+
+    The operators take such a table in place of files, so that one that needs several levels,
+    or one level twice, parses each text once: the result is written to the checkpoint
+    folder. Exact repeats of a file are read once; files that aren't Python, are hidden or
+    don't parse stay, with null levels. A table that was parsed already passes through.
+    """
+    if PARSED in files.columns:
+        lacking = [n for n in levels if n not in files.schema[PARSED].dataType.names]
+        if lacking:
+            raise ValueError(f"parse {lacking} too")
+        return files
+    return cut_lineage(_parsed(files, levels))
+
+
+def _parsed(files: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    kinds = [pa.list_(pa.struct([(n, t) for n, _, t in LEVELS[x][0]])) for x in levels]
+    whole = pa.struct(list(zip(levels, kinds)))
+    schema = pa.schema([*((n, t) for n, _, t in KEYS), (PARSED, whole)])
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for key in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                tree, _ = source.tree_of(key[4])
-                if tree is None:
-                    continue
-                for row in rows_of(tree, key[3], key[4]):
-                    for col, v in zip(out, [*key[:4], *(row[n] for n in names)]):
-                        col.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+            out = []
+            for module, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                tree = source.tree_of(text)[0] if text is not None else None
+                out.append(None if tree is None else {x: LEVELS[x][1](tree, module, text) for x in levels})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, whole)], schema=schema)
 
-    ddl = ", ".join(f"{n} {t}" for n, t, _ in [*KEYS, *fields])
-    return spread(python_files(files).dropDuplicates(["file_no"])).mapInArrow(run, ddl)
+    python = F.col("rel_path").endswith(".py") & ~is_hidden("rel_path")
+    texts = files.select(F.col("file_no").cast("long").alias("file_no"), "repo_id", "rel_path", identifier_from_path("rel_path").alias("module_id"), F.when(python, F.col("file_content")).alias("text"))
+    ddl = ", ".join(f"{n} {t}" for n, t, _ in KEYS) + f", {PARSED} struct<" + ", ".join(f"{x}:array<struct<" + ",".join(f"{n}:{t}" for n, t, _ in LEVELS[x][0]) + ">>" for x in levels) + ">"
+    return spread(texts.dropDuplicates(["file_no"])).mapInArrow(run, ddl)
+
+
+def level(files: DataFrame, name: str) -> DataFrame:
+    """KEYS and the fields of the rows of one level, from files or what parse_once gave."""
+    parsed = files if PARSED in files.columns else _parsed(files, (name,))
+    return parsed.select(*(n for n, *_ in KEYS), F.explode(f"{PARSED}.{name}").alias("x")).select(*(n for n, *_ in KEYS), "x.*")
 
 
 def parse_status(files: DataFrame) -> DataFrame:
@@ -80,29 +116,32 @@ def parse_status(files: DataFrame) -> DataFrame:
 
 def all_units(files: DataFrame) -> DataFrame:
     """Every top-level function and method with its features."""
-    return parsed(files, lambda tree, module, _: source.units(tree, module), FEATURES)
+    return level(files, "units")
 
 
 def members(files: DataFrame) -> DataFrame:
     """KEYS, ord, name: what each module offers, in order."""
-    return parsed(files, lambda tree, *_: [{"ord": k, "name": n} for k, n in enumerate(source.members(tree))], [("ord", "long", pa.int64()), ("name", "string", pa.string())])
+    return level(files, "members")
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """KEYS, level, module, name, alias, is_top: one row per imported name."""
-    fields = [("level", "long", pa.int64()), *((n, "string", pa.string()) for n in ("module", "name", "alias")), ("is_top", "boolean", pa.bool_())]
-    return parsed(files, lambda tree, *_: source.imports(tree), fields)
+    """KEYS, level, module, name, alias, is_top, orig_idx: one row per imported name."""
+    return level(files, "imports")
 
 
 def calls(files: DataFrame) -> DataFrame:
     """KEYS, caller, callee (as written)."""
-    return parsed(files, lambda tree, module, _: source.calls(tree, module), [("caller", "string", pa.string()), ("callee", "string", pa.string())])
+    return level(files, "calls")
 
 
 def statements(files: DataFrame) -> DataFrame:
     """KEYS, idx, orig_idx, kind, code, defines, uses, late, is_wildcard of the flattened modules."""
-    fields = [("idx", "long", pa.int64()), ("orig_idx", "long", pa.int64()), ("kind", "string", pa.string()), ("code", "string", pa.string()), ("defines", "array<string>", pa.list_(pa.string())), ("uses", "array<string>", pa.list_(pa.string())), ("late", "boolean", pa.bool_()), ("is_wildcard", "boolean", pa.bool_())]
-    return parsed(files, lambda tree, _, text: source.statements(tree, text), fields)
+    return level(files, "statements")
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """KEYS, ord, name, code of the top-level statements."""
+    return level(files, "blocks")
 
 
 # ---------------------------------------------------------------- filters

@@ -38,11 +38,11 @@ def progress(rounds: DataFrame) -> DataFrame:
     c = classified(rounds).where("status is not null")
     first = c.groupBy("fut_no").agg(F.min(F.when(F.col("status") == "good", F.col("round_no"))).alias("good_at"))
     per = c.groupBy("round_no").agg(F.countDistinct("fut_no").alias("n_units"), F.countDistinct(F.when(F.col("status") == "good", F.col("fut_no"))).alias("n_good"))
-    total = first.count()
     done = first.where("good_at is not null").groupBy(F.col("good_at").alias("round_no")).agg(F.count("*").alias("new_good"))
     # a handful of rounds: the running sum is over one row a round
     run = per.join(done, "round_no", "left").select("*", F.sum(F.coalesce("new_good", F.lit(0))).over(_by_round()).alias("sum_good"))
-    return run.select("round_no", "n_units", "n_good", F.round(F.try_divide("n_good", "n_units"), 6).alias("good_ratio"), F.round(F.try_divide("sum_good", F.lit(total)), 6).alias("good_so_far"))
+    run = run.join(F.broadcast(first.agg(F.count("*").alias("total"))))  # one row
+    return run.select("round_no", "n_units", "n_good", F.round(F.try_divide("n_good", "n_units"), 6).alias("good_ratio"), F.round(F.try_divide("sum_good", "total"), 6).alias("good_so_far"))
 
 
 def _by_round():
@@ -67,25 +67,30 @@ def update_chat(messages: Column, completion: Column, feedback: Column) -> Colum
 
 
 def loop(units: DataFrame, generate: Callable[[DataFrame, int], DataFrame], execute: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, min_valid: float = MIN_VALID, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """Final state of every unit after at most `rounds` rounds: unit_id, round_no, status, tests, error.
-
-    units: unit_id and anything the providers need. generate(open units, round) returns unit_id
-    and tests; execute(units with tests) returns unit_id, has_stats, passing, coverage, error.
-    Units the providers leave out keep their status; no unit is lost. Stops early once
+    """Final state of every unit after at most `rounds` rounds: unit_id, round_no, status, tests,
+    error, chat_messages.
+
+    units: unit_id, chat_messages where prompts are to grow, and anything the providers need.
+    generate(open units, round) returns unit_id, tests and, if the chat is to be kept,
+    chat_messages (the prompt that was sent); it gets last_status, last_error, last_tests and
+    last_chat. execute(units with tests) returns unit_id, has_stats, passing, coverage, error.
+    Each provider is called once a unit and round: what it gave is written before it is
+    used. Units the providers leave out keep their status; no unit is lost. Stops early once
     min_valid of the round's units are good.
     """
-    keys = units.select("unit_id").distinct()
-    state = cut_lineage(keys.select("unit_id", F.lit(-1).cast("long").alias("round_no"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("map<string,string>").alias("tests"), F.lit(None).cast("string").alias("error")))
+    chat = "array<struct<role:string,content:string>>"
+    first = units.dropDuplicates(["unit_id"]).select("unit_id", (F.col("chat_messages") if "chat_messages" in units.columns else F.lit(None)).cast(chat).alias("chat_messages"))
+    state = cut_lineage(first.select("unit_id", F.lit(-1).cast("long").alias("round_no"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("map<string,string>").alias("tests"), F.lit(None).cast("string").alias("error"), "chat_messages"))
     for number in range(rounds):
-        todo = state.where("status is null or status <> 'good'").select("unit_id")
+        todo = state.where("status is null or status <> 'good'").select("unit_id", *(F.col(c).alias(f"last_{c}") for c in ("status", "error", "tests")), F.col("chat_messages").alias("last_chat"))
         if todo.isEmpty():
             break
-        made = generate(units.join(todo, "unit_id", "left_semi").join(state.select("unit_id", F.col("status").alias("last_status"), F.col("error").alias("last_error")), "unit_id"), number)
-        ran = execute(units.join(made.select("unit_id", "tests"), "unit_id"))
-        new = made.select("unit_id", "tests").join(ran, "unit_id", "left")
-        new = new.select("unit_id", F.lit(number).cast("long").alias("round_no"), status(F.coalesce("has_stats", F.lit(False)), F.col("passing"), F.col("coverage"), min_coverage).alias("status"), "tests", "error")
-        old = state.join(new.select("unit_id"), "unit_id", "left_anti")
-        state = cut_lineage(old.unionByName(new))
+        made = generate(units.join(todo, "unit_id"), number)
+        made = cut_lineage(made.select("unit_id", "tests", (F.col("chat_messages") if "chat_messages" in made.columns else F.lit(None)).cast(chat).alias("sent")))
+        ran = cut_lineage(execute(units.join(made.select("unit_id", "tests"), "unit_id")).select("unit_id", "has_stats", "passing", "coverage", F.col("error").alias("new_error")))
+        new = made.join(ran, "unit_id", "left").join(state.select("unit_id", F.col("chat_messages").alias("old")), "unit_id", "left")
+        new = new.select("unit_id", F.lit(number).cast("long").alias("round_no"), status(F.coalesce("has_stats", F.lit(False)), F.col("passing"), F.col("coverage"), min_coverage).alias("status"), "tests", F.col("new_error").alias("error"), F.coalesce("sent", "old").alias("chat_messages"))
+        state = cut_lineage(state.join(new.select("unit_id"), "unit_id", "left_anti").unionByName(new))
         good, n = state.where(F.col("round_no") == number).agg(F.count_if(F.col("status") == "good"), F.count("*")).first()
         if n and good / n >= min_valid:
             break

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 from ..operators import callgraph, context, extract, imports, slicing
-from ..session import load
+from ..session import cut_lineage, load
 from ..sources import tables
 
 
@@ -59,7 +59,7 @@ def name_filter(s, d):
 def decorator_filter(s, d):
     m = load(s, d, "code_methods").where("method_code is not null").select("unit_no", "method_code").distinct()
     found = F.filter(F.split("method_code", "\n"), lambda x: x.startswith("@"))
-    m = m.select("unit_no", F.transform(found, lambda x: F.trim(F.substring(x, 2, 10_000))).alias("decorators"))
+    m = m.select("unit_no", F.transform(found, lambda x: F.trim(F.regexp_replace(x, "^@", ""))).alias("decorators"))
     return m.where(extract.allowed_decorators(extract.METHOD_DECORATORS)).select("unit_no", F.size("decorators").cast("long").alias("n_decorators"))
 
 
@@ -133,9 +133,11 @@ def context_naive(s, d):
 
 def context_budget(s, d):
     """Blocks of each file that fit 200 tokens, the last block with the highest claim."""
-    f = _files(s, d).where("file_content is not null and rel_path like '%.py'").select(F.col("file_no").cast("string").alias("unit_id"), F.lit(True).alias("is_own"), F.col("rel_path").alias("path"), F.regexp_replace("file_content", "\r\n|\r", "\n").alias("text")).distinct()
-    kept = context.within_budget(context.pieces_of(f), 200)
-    return kept.select("unit_id", "ord", "tokens", "over_budget")
+    f = _files(s, d).where("file_content is not null and rel_path like '%.py'").select(F.lit("").alias("repo_id"), F.col("file_no").cast("string").alias("unit_id"), F.lit(True).alias("is_own"), F.col("rel_path").alias("path"), F.regexp_replace("file_content", "\r\n|\r", "\n").alias("text")).distinct()
+    blocks = F.filter(F.split("text", r"\n\n+"), lambda x: F.trim(x) != "")
+    pieces = f.withColumn("blocks", blocks).select("repo_id", "unit_id", "is_own", "path", F.size("blocks").alias("n"), F.posexplode("blocks").alias("ord", "piece"))
+    kept = context.within_budget(pieces.withColumn("is_target", F.col("ord") == F.col("n") - 1), 200)
+    return kept.select("unit_id", F.col("ord").cast("long").alias("ord"), "tokens", "over_budget")
 
 
 def local_paths(s, d):
@@ -148,6 +150,33 @@ def id_types(s, d):
     return imports.id_types(_files(s, d), ids_)
 
 
+def slices(s, d):
+    f = extract.parse_once(_files(s, d), "statements", "imports")
+    return slicing.slices(slicing.edges(f), slicing.unit_seeds(f))
+
+
+def slice_ranks(s, d):
+    f = extract.parse_once(_files(s, d), "statements", "imports")
+    e = cut_lineage(slicing.edges(f))
+    return slicing.topological(e, slicing.slices(e, slicing.unit_seeds(f)))
+
+
+def _contexts(s, d, kind, budget=6000):
+    f = extract.parse_once(_files(s, d), "units", "imports", "statements", "blocks")
+    return context.contexts(f, extract.extract_units(f), kind, budget)
+
+
+def contexts_called(s, d):
+    """Full contexts with the files of what a unit calls, at a tight budget."""
+    f = extract.parse_once(_files(s, d), "units", "imports", "calls", "blocks")
+    return context.contexts(f, extract.extract_units(f), "full", 300, calls=cut_lineage(imports.file_calls(f)))
+
+
+def repository_graphs(s, d):
+    g = imports.repository_graphs(_files(s, d))
+    return g.select("repo_id", "id2type", F.explode("graph").alias("caller", "callees")).select("repo_id", "caller", F.array_join("callees", ",").alias("callees"), F.col("id2type")[F.col("caller")].alias("caller_type"))
+
+
 QUERIES = {
     "local_paths": local_paths, "id_types": id_types, "identifiers": identifiers, "repo_ids": repo_ids, "hidden_files": hidden_files, "units_union": units_union, "units_topk": units_topk, "unit_lines": unit_lines, "name_filter": name_filter, "decorator_filter": decorator_filter,
     "callee_filter": callee_filter, "elided_code": elided_code, "array_summaries": array_summaries, "batches": batches, "image_recipe": image_recipe,
@@ -160,9 +189,8 @@ QUERIES = {
     "imports_resolved": lambda s, d: imports.resolved(_files(s, d)).select("file_no", "level", "module", "name", "alias", "target"), "imports_absolute": lambda s, d: imports.absolute(_files(s, d)).select("file_no", "module", "name", "alias"),
     "packages": lambda s, d: imports.packages(_files(s, d)), "file_calls": lambda s, d: imports.file_calls(_files(s, d)),
     "statements": lambda s, d: extract.statements(_files(s, d)).select("file_no", "idx", "orig_idx", "kind", "code", F.array_join("uses", ",").alias("uses")),
-    "slice_edges": lambda s, d: slicing.edges(_files(s, d)), "slices": lambda s, d: slicing.slices(slicing.edges(_files(s, d)), slicing.unit_seeds(_files(s, d))),
-    "slice_ranks": lambda s, d: (lambda e: slicing.topological(e, slicing.slices(e, slicing.unit_seeds(_files(s, d)))))(slicing.edges(_files(s, d))),
-    "contexts_sliced": lambda s, d: context.contexts(_files(s, d), extract.extract_units(_files(s, d)), "sliced"), "contexts_full": lambda s, d: context.contexts(_files(s, d), extract.extract_units(_files(s, d)), "full"),
+    "slice_edges": lambda s, d: slicing.edges(_files(s, d)), "slices": slices, "slice_ranks": slice_ranks, "contexts_sliced": lambda s, d: _contexts(s, d, "sliced"), "contexts_full": lambda s, d: _contexts(s, d, "full"),
+    "contexts_naive": lambda s, d: _contexts(s, d, "naive"), "contexts_called": contexts_called, "repository_graphs": repository_graphs, "imports_rewritten": lambda s, d: imports.rewritten(_files(s, d)), "module_exports": lambda s, d: imports.exports(_files(s, d)),
 }
 
 _EDGES = """
@@ -223,7 +251,7 @@ SQL = {
  SELECT unit_no, '```python' || chr(10) || '# ' || p || chr(10) || c || chr(10) || '```' AS markdown, '# ' || p || chr(10) || c AS comment FROM f""",
     "context_budget": """WITH f AS (SELECT DISTINCT file_no::VARCHAR AS unit_id, regexp_replace(file_content, '\\r\\n|\\r', chr(10), 'g') AS t FROM files WHERE file_content IS NOT NULL AND rel_path LIKE '%.py'),
  b AS (SELECT unit_id, list_filter(regexp_split_to_array(t, '\\n\\n+'), lambda x: trim(x) <> '') AS l FROM f), p AS (SELECT unit_id, unnest(l) AS piece, unnest(range(len(l))) AS ord FROM b),
- k AS (SELECT unit_id, ord, len(regexp_extract_all(piece, '\\w+|[^\\w\\s]')) AS tokens FROM p), s AS (SELECT *, sum(tokens) OVER w AS running, count(*) OVER w AS claim FROM k WINDOW w AS (PARTITION BY unit_id ORDER BY ord DESC ROWS UNBOUNDED PRECEDING))
- SELECT unit_id, ord, tokens, running > 200 AS over_budget FROM s WHERE running <= 200 OR claim = 1""",
+ k AS (SELECT unit_id, ord, ord = max(ord) OVER (PARTITION BY unit_id) AS is_target, len(regexp_extract_all(piece, '\\w+|[^\\w\\s]')) AS tokens FROM p), s AS (SELECT *, sum(tokens) OVER w AS running FROM k WINDOW w AS (PARTITION BY unit_id ORDER BY is_target DESC, ord ROWS UNBOUNDED PRECEDING))
+ SELECT unit_id, ord, tokens, running > 200 AS over_budget FROM s WHERE running <= 200 OR is_target""",
 }
 

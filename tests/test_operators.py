@@ -79,6 +79,58 @@ def test_loop_keeps_every_unit(spark):
     assert got == {"u1": ("good", 0), "u2": ("good", 1), "u3": ("fix_error", 2), "u4": (None, -1)}
 
 
+def counted(folder, what):
+    import uuid
+
+    (folder / f"{what}-{uuid.uuid4().hex}").touch()
+
+
+def test_loop_calls_providers_once_and_keeps_the_chat(spark, tmp_path):
+    from codequarry import pipeline
+
+    class Answer:
+        def complete(self, messages, settings):
+            counted(tmp_path, "ask")
+            return [f"```python\nattempt {len(messages)}\n```"]
+
+    class Runner:
+        def run(self, unit, tests):
+            counted(tmp_path, "run")
+            return {"run_tests_logs": {k: {"valid": False} for k in tests}, "error": f"failed {list(tests.values())}"}
+
+    files = spark.createDataFrame([(1, "r", "m.py", "def f(a):\n    return a\n")], "file_no long, repo_id string, rel_path string, file_content string")
+    r = pipeline.generate_execute(files, extract.all_units(files), Answer(), Runner(), rounds=3).collect()
+    assert len(list(tmp_path.glob("ask-*"))) == 3 and len(list(tmp_path.glob("run-*"))) == 3
+    (r,) = r
+    assert (r.unit_id, r.round_no, r.status, r.tests) == ("r:m.f", 2, "fix_error", {"test_2": "attempt 7"})
+    assert [m.role for m in r.chat_messages] == ["system", "user", "user", "assistant", "user", "assistant", "user"]
+    assert "attempt 3" in r.chat_messages[3].content and "failed ['attempt 3']" in r.chat_messages[4].content and "attempt 5" in r.chat_messages[5].content
+
+
+def test_show_specs_and_verbs(spark, tmp_path):
+    from codequarry import pipeline
+
+    class Answer:
+        def complete(self, messages, settings):
+            return ["```python\ndef f(a):\n    \"\"\"" + ("Typed." if "a: BIGINT" in messages[-1]["content"] else "Plain.") + "\"\"\"\n```"]
+
+    stats = log(1, 0, 0, True, captured_arg_logs=[{"func_name": "f", "inputs": {"a": 1}, "output": 2}])
+    futs = fut(spark, [(1, "r", [stats])]).withColumn("function_id", F.struct(F.lit("m.f").alias("identifier")))
+    units = spark.createDataFrame([("r", "m.f", "f", "def f(a): ..."), ("r", "m.g", "g", "def g(): ...")], "repo_id string, unit_id string, name string, code string")
+    assert [tuple(x) for x in pipeline.show(futs, "code", "f", units).collect()] == [(1, "m.f", "def f(a): ...")]
+    assert pipeline.show(futs, "result", "m.f").first().result == stats
+    with pytest.raises(ValueError):
+        pipeline.show(futs, "code")
+    assert {r.unit_id: r.spec for r in pipeline.specs(None, units, futs, Answer()).collect()} == {"r:m.f": "Typed.", "r:m.g": "Plain."}
+    a = pipeline.parser().parse_args(["generate-execute", "files", "--no-docstring", "--runner", "x:Y", "--top-p", "0.5", "--what", "code"])
+    assert (a.verb, a.no_docstring, a.no_lines, a.runner, a.top_p) == ("generate-execute", True, False, "x:Y", 0.5)
+    with pytest.raises(SystemExit):
+        pipeline.parser().parse_args(["nothing"])
+    spark.createDataFrame([(1, "r", "m.py", "def f(a):\n    return a\n")], "file_no long, repo_id string, rel_path string, file_content string").write.parquet(str(tmp_path / "files"))
+    pipeline.main(["generate", str(tmp_path / "files"), str(tmp_path / "out"), "--disable-all-filters", "--context", "naive"])
+    assert spark.read.parquet(str(tmp_path / "out")).first().tests == {"test_0": "# Write"}
+
+
 def test_completion_cache_and_errors(spark):
     prompts = spark.createDataFrame([("a", [("user", "hi")]), ("b", [("user", "hi")]), ("c", [("user", "there")])], f"unit_id string, chat_messages {completions.CHAT}")
     done = completions.completed(prompts, completions.StubProvider())
@@ -134,17 +186,89 @@ def test_slices_and_contexts(repo):
     assert {(r.path, r.idx) for r in slicing.slices(e, seeds, 0).collect()} == {("test.py", 2)}
     ranks = {(r.path, r.idx): r.rank for r in slicing.topological(e, s).collect()}
     assert ranks["module/utils.py", 1] < ranks["module/more_utils.py", 0] < ranks["module/more_utils.py", 3] < ranks["test.py", 2]
-    text = slicing.unparsed(repo, s).first().context
+    assert {(r.path, r.file_rank) for r in slicing.topological(e, s).collect()} == {("module/utils.py", 0), ("module/more_utils.py", 1), ("test.py", 2)}
+    text = slicing.unparsed(repo, slicing.topological(e, s)).first().context
+    assert text.index("# module/utils.py") < text.index("# module/more_utils.py") < text.index("# test.py")
     assert text.count("```") == 6 and text.rstrip().endswith("```") and "# test.py" in text.split("```python")[-1] and "LIMIT = 3" not in text
     units = extract.all_units(repo).where("name = 'advanced_helper'")
     c = context.contexts(repo, units, "sliced").first()
     assert "class Utils" in c.context and "LIMIT = 4" in c.context and "helper():\n    print" not in c.context.replace("advanced_helper", "")
-    assert context.contexts(repo, units, "full", budget=20).first().context.count("# ...") >= 1
+    assert context.contexts(repo, units, "full", budget=45).first().context.count("# ...") >= 1
     assert context.contexts(repo, units, "naive").first().context.startswith("```python\n# module/more_utils.py\ndef advanced_helper")
     with pytest.raises(ValueError):
         context.contexts(repo, units, "none")
 
 
+TWO = "import os\nLIMIT = 1\n\ndef target():\n    return LIMIT\n\ndef other(a):\n    return [a, a, a, a, a, a, a, a]\n\nclass Box:\n    size = 3\n\n    def first(self):\n        return 1\n\n    def second(self):\n        return 2\n"
+
+
+@pytest.mark.parametrize("kind", ["naive", "full", "sliced"])
+@pytest.mark.parametrize("budget", [1, 15, 30, 6000])
+def test_the_unit_is_in_its_context_at_any_budget(spark, kind, budget):
+    files = spark.createDataFrame([(1, "r", "m.py", TWO), (2, "q", "m.py", TWO.replace("LIMIT", "BOUND"))], "file_no long, repo_id string, rel_path string, file_content string")
+    got = {(r.repo_id, r.unit_id): r.context for r in context.contexts(files, extract.all_units(files), kind, budget).collect()}
+    assert len(got) == 8
+    for (repo_id, unit), text in got.items():
+        name = unit.rsplit(".", 1)[1]
+        assert f"def {name}(" in text and text.startswith("```python\n# m.py\n")
+        own = text.rindex("def ")
+        assert text[own:].startswith(f"def {name}(")  # the target comes last
+    if kind == "full":
+        assert ("def other" in got["r", "m.target"]) == (budget == 6000) and ("# ..." in got["r", "m.target"]) == (budget in (15, 30))
+        assert "LIMIT = 1" in got["r", "m.target"] and "BOUND" not in got["r", "m.target"] or budget == 1
+    if kind == "naive":
+        assert "def first" not in got["r", "m.Box.second"] and "class Box" in got["r", "m.Box.second"]
+    if kind == "sliced" and budget == 6000:
+        assert "LIMIT = 1" in got["r", "m.target"] and "other" not in got["r", "m.target"]
+
+
+def test_external_files_lose_their_last_statements_first(spark, repo):
+    units = extract.all_units(repo).where("unit_id = 'test.foo'")
+    calls = imports.file_calls(repo)
+    whole = context.contexts(repo, units, "full", calls=calls).first().context
+    assert whole.index("# module/more_utils.py") < whole.index("# module/utils.py") < whole.index("# test.py") and whole.count("```python") == 3
+    short = context.contexts(repo, units, "full", budget=100).first().context
+    assert "# ..." in short and "def advanced_helper" not in short and "def helper" in short and short.rstrip("`\n").endswith("print(result)")
+
+
+def test_wildcards_and_inner_imports_lead_on(spark):
+    texts = {"a.py": "from lib import *\n\ndef f():\n    return shared()\n", "lib.py": "BASE = 1\n\ndef shared():\n    return BASE\n\ndef unused():\n    return 2\n", "b.py": "def g():\n    from lib import unused\n    return unused()\n"}
+    files = spark.createDataFrame([(k, "r", p, t) for k, (p, t) in enumerate(texts.items())], "file_no long, repo_id string, rel_path string, file_content string")
+    e = slicing.edges(files)
+    seeds = slicing.unit_seeds(files)
+    of = lambda root: {(r.path, r.idx) for r in slicing.slices(e, seeds.where(f"root_id = '{root}'")).collect()}
+    assert of("a.f") == {("a.py", 1), ("a.py", 0), ("lib.py", 1), ("lib.py", 0)}
+    assert of("b.g") == {("b.py", 0), ("lib.py", 2)}
+    calls = spark.createDataFrame([("r", "lib.shared", "lib.unused")], "repo_id string, caller string, callee string")
+    called = slicing.slices(slicing.edges(files, calls), seeds.where("root_id = 'lib.shared'"))
+    assert {(r.path, r.idx) for r in called.collect()} == {("lib.py", 0), ("lib.py", 1), ("lib.py", 2)}
+
+
+def test_imports_are_rewritten(repo, spark):
+    got = {r.file_no: r.text for r in imports.rewritten(repo).collect()}
+    assert got[2].startswith("from module.utils import Utils\nLIMIT = 3") and got[3].startswith("from module.utils import helper\n")
+    assert got[4] == "from pkg import sub\n" and got[5] == "from pkg.core import VALUE, core\n" and got[7] == "def ("
+
+
+def test_repository_graphs(repo, spark):
+    extra = spark.createDataFrame([(50, "r", "api/__init__.py", "from module.utils import helper\n"), (51, "r", "use.py", "from api import helper\n\ndef run():\n    return helper()\n")], repo.schema)
+    g = {r.repo_id: r for r in imports.repository_graphs(repo.union(extra)).collect()}["r"]
+    assert g.graph["use.run"] == ["module.utils.helper"] and g.id2type["module.utils.helper"] == "FUNCTION" and g.id2type["use.run"] == "FUNCTION"
+    assert "module.more_utils.advanced_helper" in g.graph["test.foo"] and g.graph["test.TestClass.method_two"] == ["test.TestClass.method_one"] and g.id2type["<builtin>.print"] == "BUILTIN"
+    assert all(g.graph.values()) and all(k in g.id2type for k in g.graph)
+
+
+def test_one_parse_serves_all_levels(repo):
+    once = extract.parse_once(repo, "units", "imports", "calls", "members", "statements", "blocks")
+    for one in (extract.all_units, extract.imports, extract.calls, extract.members, extract.statements, extract.blocks):
+        assert sorted(map(str, one(once).collect())) == sorted(map(str, one(repo).collect()))
+    assert once.count() == repo.count() and extract.parse_once(once, "units") is once
+    with pytest.raises(ValueError):
+        extract.parse_once(extract.parse_once(repo, "units"), "calls")
+    plan = imports.resolved(repo)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # read from what one parse wrote
+
+
 def test_extract(spark, repo):
     good = 'def run(a):\n    """Adds one."""\n    b = a + 1\n    return b\n'
     rows = [(1, "r", "a.py", good), (2, "r", "b.py", good.replace("run", "test_x")), (3, "r", "c.py", good.replace("Adds one.", "See https docs.")), (4, "r", "d.py", good.replace("a + 1", "gpu(a)")), (5, "r", "e.py", "@deco\n" + good), (6, "q", "f.py", good), (1, "r", "a.py", good)]
