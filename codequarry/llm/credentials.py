@@ -1,7 +1,7 @@
 """Credentials embedded in source code.
 
-Lines that can hold one are found by plain substring searches; in them quoted strings,
-bare values and long tokens are extracted with the name they are given to. Shannon
+Quoted strings, bare values and long tokens are extracted with the name they are given
+to (lines that hold no word of such a name are passed over, which loses none). Shannon
 entropy over the smallest alphabet that holds a value is compared with a threshold
 adjusted to its length; formats of well-known keys and names that promise a secret lower
 it. Tokens and quoted strings without such a name are judged anywhere in the text, against
@@ -26,6 +26,8 @@ from ..session import spread
 
 #: Bits a character that a value in a well-known format must have at least.
 KNOWN_BITS = 2.8
+#: Bits a character that words, a symbol and digits under the name of a password have at least.
+NAMED_BITS = 2.2
 #: Bits a character that a random value may fall short of what its length and alphabet lead to
 #: expect: none of some ten thousand values read on test tables falls shorter.
 SLACK = 1.3
@@ -40,11 +42,11 @@ CONTAINER_SIZE = 4_000
 #: What stands in for a redacted value.
 MASK = "REDACTED"
 
-# Words at the end of a name that promise a secret.
+# Words at the end of a name that promise a secret.
 SECRET_WORDS = ("password", "passwd", "passphrase", "passcode", "pass", "pwd", "pw", "secret", "secrets", "token", "apikey", "key", "cred", "creds", "credential", "credentials", "auth", "authorization", "bot", "jwt", "pat", "sas")
-# Of those the words under which passwords made of words and digits are usual.
+# Of those the words under which passwords made of words and digits are usual.
 PASSWORD_WORDS = ("password", "passwd", "passphrase", "passcode", "pass", "pwd", "pw", "secret", "secrets", "apikey", "token", "cred", "creds", "credential", "credentials", "auth")
-# Words before "key" that promise a secret.
+# Words before "key" that promise a secret.
 KEY_WORDS = ("api", "access", "secret", "private", "signing", "service", "encryption", "auth", "client", "account", "master", "deploy", "webhook", "ssh", "aws", "license")
 # What well-known keys start with, and the characters that follow.
 FORMATS = re.compile(
@@ -52,9 +54,11 @@ FORMATS = re.compile(
     r"|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}|npm_[A-Za-z0-9]{30,}|pypi-[\w-]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|dop_v1_[0-9a-f]{60,}|hf_[A-Za-z0-9]{30,}|ya29\.[\w-]{20,}|sq0[a-z]{3}-[\w-]{20,}|AC[0-9a-f]{32}(?=\W|$))"
 )
 PREFIX = re.compile(r"^(?:gh[opsur]_|github_pat_|glpat-|AKIA|ASIA|AIza|xox[abpors]-|[srp]k_(?:live|test)_|eyJ[\w-]+\.|npm_|pypi-|hf_|ya29\.)")
-# Substrings of lower-case text near which credentials stand.
-HINTS = ("passw", "passphrase", "pass ", "pass=", "pass:", "pass\"", "pass'", "_pass", "pwd", "_pw", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "signing_key", "_key", "-key", "key\"", "key'", "key =", "key=", "key:", "cred", "auth", "bearer", "login", "://", "private key", " -u ", "bot ", "bot=", "jwt")
-# What stand-ins hold.
+#: What a line must hold, in lower case, for a name, header, command or note of in_line or below_name
+#: to apply: one of the words, no letter after it (but an s), or one of the marks. Exact, not a choice.
+LINE_WORDS = (*SECRET_WORDS, "bearer", "basic", "login")
+LINE_MARKS = ("://", "curl", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "akia", "asia", "aiza", "xox", "k_live_", "k_test_", "eyj", "npm_", "pypi-", "hf_", "ya29.")
+# What stand-ins hold.
 STAND_IN = re.compile(
     r"(?i)\$\{|\$\(|\{\{|\}\}|%\(|<[^<>]*>|^\$\w|^%[^%]+%$|^\{[^{}]*\}$|^(.)\1+$|x{5,}|\*{3,}|\.{3}|…|process\.env|os\.environ|getenv|secrets\.|^[\w.]+\(|12345678|abcdefgh"
     r"|(?<![a-z])(?:your|example|change[_-]?me|placeholder|dummy|sample|fake|mock|redacted|insert|replace|todo|fill[_ ]?in|undefined|not[_-]?set|vault|my[_-](?:secret|token|password|key)|(?:secret|token|password|key)[_-]here)(?![a-z])"
@@ -73,14 +77,15 @@ HEADER = re.compile(r"(?i)\b(bearer|basic|token|apikey)[ :=]+([A-Za-z0-9+/_.~=-]
 QUOTED = re.compile(r"([A-Za-z_][\w.-]*)['\"]?\]?\s*(?::\s*[A-Za-z_][\w.\[\]]*\s*)?(?:=>|[:=])\s*(?:[\w.]+\(\s*(?:['\"][^'\"\n]*['\"]\s*,\s*)?)?[bBrRuUfF]{0,2}(\"\"\"|'''|[\"'`])((?:(?!\2)[^\\\n]|\\.)*)\2")
 MORE = re.compile(r"\s*(?:\+|\\\n|\.)?\s*[bBrRuUfF]{0,2}([\"'])((?:(?!\1)[^\\\n]|\\.)*)\1")
 BARE = re.compile(r"^\s*(?:export\s+|-\s+)?([A-Za-z_][\w.-]*)\s*[:=]\s*([^\s'\"#;,(){}\[\]][^\s'\"]*)\s*(?:[#;].*)?$")
-NOTE = re.compile(r"(?i)(?:#|//|--|/\*|\*|;|<!--|\"\"\"|^)[^\n]*?\b(pass(?:word|phrase|wd)?|pwd|secret|token|(?:api |old |new |access |deploy |private )?key|cred(?:ential)?s?|login|auth)\b[^\n:=]{0,40}[:=]\s*(?:[\w.@-]{1,40}\s+/\s+)?[`'\"]?([^\s'\"`]{8,})")
+NOTE = re.compile(r"(?i)\b(pass(?:word|phrase|wd)?|pwd|secret|token|(?:api |old |new |access |deploy |private )?key|cred(?:ential)?s?|login|auth)\b[^\n:=]{0,40}[:=]\s*(?:[\w.@-]{1,40}\s+/\s+)?[`'\"]?([^\s'\"`]{8,})")
+NOTE_MARK = re.compile(r"#|//|--|\*|;|\"\"\"")
 LOOSE = re.compile(r"(?<![\w/+.-])[A-Za-z0-9+/_.-]{20,}={0,2}(?![\w(])")
 #: Quoted strings without blanks or escapes.
 SOLID = re.compile(r"([\"'`])([^\s\"'`\\]{20,})\1")
 STRING = re.compile(r"[bBrRuUfF]{0,2}([\"'])((?:(?!\1)[^\\\n]|\\.)*)\1")
 #: name and operator before a value, as far as they stand on its line.
 NAME_BEFORE = re.compile(r"([A-Za-z_][\w.-]*)['\"]?\]?\s*(?::\s*[A-Za-z_][\w.\[\]]*\s*)?(?:=>|[:=])\s*[bBrRuUfF]{0,2}['\"`]?$")
-# Words of names that say that a random value is no secret.
+# Words of names that say that a random value is no secret.
 HARMLESS_WORDS = frozenset("digest hash hashes sha sha1 sha256 sha512 md5 crc checksum checksums integrity etag commit rev revision ref run build id ids uuid guid fingerprint nonce pub public pubkey data pixel image img icon logo blob chunk payload font base64 b64 signature version url uri href src path file cert certificate salt seed fixture expected".split())
 #: A name whose value begins in a later line, and a name of a list or mapping.
 CONTINUED = re.compile(r"([A-Za-z_][\w.-]*)['\"]?\]?[ \t]*(?:=>|[:=])[ \t]*(?:[\w.]*\(|\\)?[ \t]*(?:#[^\n]*)?$")
@@ -143,7 +148,7 @@ def is_secret(name: str, value: str) -> bool:
         return len(value) >= 16 and letters and digits and random_looking(value)
     if kind == "password" and letters and (digits or symbols):
         # words, a symbol and digits count as a password; a lone identifier with a number doesn't
-        return symbols or len(value) >= 12 or random_looking(value)
+        return entropy(value) > NAMED_BITS and (symbols or len(value) >= 12) or random_looking(value)
     return letters and digits and len(value) >= 12 and random_looking(value)
 
 
@@ -247,8 +252,9 @@ def in_line(text: str, start: int, end: int):
         if header_secret(m[1], m[2]) and free(*m.span(2)):
             taken.append(m.span(2))
             yield [m.span(2)]
-    at = 0
+    at, some = 0, False
     while m := QUOTED.search(line, at):
+        some = True
         value, spans, at = m[3], [m.span(3)], m.end()
         while (more := MORE.match(line, at)) and line[at : more.start(1)].strip(" bBrRuUfF\t") in ("+", "", "."):
             value += more[2]
@@ -268,14 +274,41 @@ def in_line(text: str, start: int, end: int):
         if free(*m.span()) and not STAND_IN.search(m[0]) and entropy(m[0]) > KNOWN_BITS:
             taken.append(m.span())
             yield [m.span()]
-    for m in NOTE.finditer(line):
+    after = -1
+    for m in () if some else NOTE.finditer(line):
+        if after >= 0 and not NOTE_MARK.search(line, after, m.start(1)):
+            continue  # a second note needs a mark of its own
+        after = m.end()
         value = m[2].rstrip(".,;)")
         a = m.start(2)
-        if free(a, a + len(value)) and is_secret(f"{m[1]}_token", value) and not QUOTED.search(line):
+        if free(a, a + len(value)) and is_secret(f"{m[1]}_token", value):
             taken.append((a, a + len(value)))
             yield [(a, a + len(value))]
 
 
+def candidate_lines(text: str, lower: str) -> set[int]:
+    """Starts of the lines that hold one of LINE_WORDS or LINE_MARKS."""
+    starts: set[int] = set()
+    for mark in LINE_MARKS:
+        at = lower.find(mark)
+        while at >= 0:
+            starts.add(text.rfind("\n", 0, at) + 1)
+            end = text.find("\n", at)
+            at = lower.find(mark, end) if end >= 0 else -1
+    for word in LINE_WORDS:
+        size = len(word)
+        at = lower.find(word)
+        while at >= 0:
+            after = lower[at + size : at + size + 2]
+            if not after[:1].isalpha() or after[0] == "s" and not after[1:].isalpha():
+                starts.add(text.rfind("\n", 0, at) + 1)
+                end = text.find("\n", at)
+                at = lower.find(word, end) if end >= 0 else -1
+            else:
+                at = lower.find(word, at + 1)
+    return starts
+
+
 def find(text: str | None):
     """(line number from 1, spans of the value) of every credential, in order."""
     if not text:
@@ -283,13 +316,7 @@ def find(text: str | None):
     lower = text.lower()
     if len(lower) != len(text):
         lower = "".join(c if len(x := c.lower()) > 1 else x for c in text)  # offsets stay
-    starts: set[int] = set()
-    for hint in HINTS:
-        at = lower.find(hint)
-        while at >= 0:
-            starts.add(text.rfind("\n", 0, at) + 1)
-            end = text.find("\n", at)
-            at = lower.find(hint, end) if end >= 0 else -1
+    starts = candidate_lines(text, lower)
     for m in FORMATS.finditer(text):
         starts.add(text.rfind("\n", 0, m.start()) + 1)
     out = []

@@ -87,3 +87,26 @@ def test_found_without_a_name_on_the_line(text, line):
 @pytest.mark.parametrize("text", HARMLESS)
 def test_not_found_without_a_name(text):
     assert C.find(text) == []
+
+
+def test_lines_are_passed_over_without_loss(monkeypatch):
+    texts = ["\n".join(rng.sample(YES + NO, 12)) for rng in map(random.Random, range(40))] + ["İ = 1\nx = 'y'\ntoken = 'ghp_" + SECRET[:36] + "'\nAPI_SECRET = '" + SECRET + "'"]
+    want = [C.find(t) for t in texts]
+    monkeypatch.setattr(C, "candidate_lines", lambda text, lower: {0, *(k + 1 for k, c in enumerate(text) if c == "\n")})
+    assert [C.find(t) for t in texts] == want
+    assert [n for n, _ in want[-1]] == [3, 4]
+
+
+def test_entropy_decides(monkeypatch):
+    low = ['password = "aaaabbbbaaaabbbb1"', 'x = "aB1aB1aB1aB1aB1aB1aB1aB1aB1aB1"', 'api_key = "zz1zz1zz1zz1zz1zz1zz1zz1zz1"']
+    high = [f'x = "{SECRET}"', f'api_key = "{SECRET}"', f'connect("h", "{SECRET}")', f'TOKENS = ["{SECRET}"]']
+    assert all(C.find(x) == [] for x in low) and all(C.find(x) for x in high)
+    monkeypatch.setattr(C, "entropy", lambda value: 0.0)
+    assert all(C.find(x) == [] for x in high)
+    monkeypatch.setattr(C, "entropy", lambda value: 99.0)
+    assert all(C.find(x) for x in low)
+
+
+def test_long_lines_take_no_quadratic_time():
+    line = "// token " + "a b " * 200_000
+    assert C.find(line) == []
