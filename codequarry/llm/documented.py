@@ -127,13 +127,19 @@ def is_trivial(text: str | None, name: str | None) -> bool:
 
 
 class Definition:
-    def __init__(self, node: ast.AST):
+    """lines: the code's lines, from 1 in numbering; inside: numbers of lines within literals."""
+
+    def __init__(self, node: ast.AST, lines: list[str], inside: set[int]):
         self.node = node
         self.name = node.name
         self.first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
         self.line = node.lineno
         a = node.args
         self.params = {x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]}
+        # nothing but blank and comment lines lies between this line and the definition
+        self.above = self.first
+        while self.above > 1 and self.above - 1 not in inside and lines[self.above - 2].lstrip()[:1] in ("", "#"):
+            self.above -= 1
 
 
 class Comment:
@@ -141,12 +147,17 @@ class Comment:
         self.first, self.last, self.text, self.inside = first, last, text, inside
 
 
-def comment_blocks(code: str) -> list[Comment]:
-    """Runs of whole-line comments, without their marks."""
+def inside_literals(tree: ast.AST) -> set[int]:
+    """Lines that begin within a literal."""
+    return {n for x in ast.walk(tree) if isinstance(x, (ast.Constant, ast.JoinedStr)) and x.end_lineno > x.lineno for n in range(x.lineno + 1, x.end_lineno + 1)}
+
+
+def comment_blocks(code: str, inside: set[int] = frozenset()) -> list[Comment]:
+    """Runs of whole-line comments, without their marks; lines within literals are none."""
     out: list[Comment] = []
     run: list[str] = []
     for n, line in enumerate([*code.split("\n"), ""], 1):
-        m = re.match(r"\s*#+[:!]?\s?(.*)$", line)
+        m = re.match(r"\s*#+[:!]?\s?(.*)$", line) if n not in inside else None
         if m:
             run.append(m[1])
         elif run:
@@ -165,7 +176,8 @@ def cost(d: Definition, c: Comment) -> float:
     if c.inside is not None:
         base = 0.0 if c.inside == d.line else PLAUSIBLE + 1
     elif c.last < d.first:
-        base = 1.0 if c.last + 1 == d.first else PLAUSIBLE + d.first - c.last
+        # a block that blank lines or other comments part from the definition is the dearer the farther
+        base = 1.0 if c.last + 1 == d.first else 2.0 + 2.0 * (d.first - c.last) if c.first >= d.above else PLAUSIBLE + 1
     elif d.first < c.first and c.last < d.line:
         base = 1.0 if c.last + 1 == d.line else 2.0
     else:
@@ -211,9 +223,9 @@ def assign(costs: list[list[float]]) -> list[int]:
     return out
 
 
-def pair(definitions: list[Definition], comments: list[Comment], name: str | None) -> dict[int, str]:
-    """Definition number to its description. A comment serves one definition; comments that
-    say nothing of a definition, or stand implausibly, aren't linked."""
+def pair(definitions: list[Definition], comments: list[Comment], name: str | None) -> dict[int, Comment]:
+    """Definition number to its comment. A comment serves one definition; comments that say
+    nothing of a definition, or stand implausibly, aren't linked."""
     if not definitions or not comments:
         return {}
     never = 1e6
@@ -222,9 +234,17 @@ def pair(definitions: list[Definition], comments: list[Comment], name: str | Non
         row = [cost(d, c) for c in comments]
         row = [x if x < PLAUSIBLE and not is_trivial(c.text, name if k == 0 and name else d.name) else never for x, c in zip(row, comments)]
         costs.append(row + [never / 2 if j == k else never for j in range(len(definitions))])  # unlinked
-    return {k: comments[j].text for k, j in enumerate(assign(costs)) if j < len(comments) and costs[k][j] < PLAUSIBLE}
+    return {k: comments[j] for k, j in enumerate(assign(costs)) if j < len(comments) and costs[k][j] < PLAUSIBLE}
+
+
+def direct(d: Definition, c: Comment) -> bool:
+    """Whether a comment is the definition's docstring, or touches its head."""
+    return c.inside is not None or c.last + 1 == d.first or d.first < c.first and c.last < d.line
 
 
+#: A line that begins as a comment, and what literals of several lines hold.
+MARKED = re.compile(r"(?m)^[ \t]*#")
+LONG_LITERAL = re.compile(r"\"\"\"|'''|\\\n")
 LOOSE = re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:async\s+)?(?:def|function)\s*\*?\s*(\w+)")
 
 
@@ -242,16 +262,21 @@ def description(code: str | None, name: str | None = None) -> str | None:
     own = next((n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))), None)
     if own is None:
         return loose_description(code, name)
-    nodes = [own] + [n for n in ast.walk(own) if n is not own and isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    definitions = [Definition(n) for n in nodes]
-    comments = [c for c in comment_blocks(code) if c.first < definitions[0].line or len(nodes) > 1] if "#" in code else []
+    nodes = [own]
+    if code.count("def") > 1:
+        nodes += [n for n in ast.walk(own) if n is not own and isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    marked = bool(MARKED.search(code))
+    inside = inside_literals(tree) if marked and LONG_LITERAL.search(code) else set()
+    lines = code.split("\n")
+    definitions = [Definition(n, lines, inside) for n in nodes]
+    comments = [c for c in comment_blocks(code, inside) if c.first < definitions[0].line or len(nodes) > 1] if marked else []
     for d in definitions:
         text = ast.get_docstring(d.node, clean=False)
         if text is not None:
             expr = d.node.body[0]
             comments.append(Comment(expr.lineno, expr.end_lineno, text, d.line))
     found = pair(definitions, comments, name).get(0)
-    return None if found is None else inspect.cleandoc(found).strip()
+    return inspect.cleandoc(found.text).strip() if found is not None and direct(definitions[0], found) else None
 
 
 def loose_description(code: str, name: str | None) -> str | None:

@@ -21,6 +21,23 @@ def test_descriptions(code, name, text):
     assert D.description(code, name or (code or "").partition("(")[0].split(" ")[-1]) == text
 
 
+def test_a_comment_goes_to_the_definition_it_fits_best():
+    import ast
+
+    code = "# Sorts rows by age.\n# :param rows: what is sorted\n\n# Keeps the newest.\ndef f(rows):\n    # Reads one row.\n\n    def g(x):\n        return x\n\n    # Writes one row.\n    def h(y):\n        return y\n"
+    tree = ast.parse(code)
+    nodes = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)]
+    definitions = [D.Definition(n, code.split("\n"), set()) for n in nodes]
+    found = {definitions[k].name: c.text for k, c in D.pair(definitions, D.comment_blocks(code), None).items()}
+    assert found == {"f": "Keeps the newest.", "g": "Reads one row.", "h": "Writes one row."}
+    assert D.description(code) == "Keeps the newest."
+
+
+def test_marks_within_literals_are_no_comments():
+    assert D.description('def f(\n    x="""\n# Sorts rows by age.\n""",\n):\n    return x\n', "f") is None
+    assert [c.text for c in D.comment_blocks('x = """\n# a\n"""\n# b\n', {2, 3})] == ["b"]
+
+
 def test_assignment_is_the_cheapest():
     rng = random.Random(3)
     for _ in range(200):
