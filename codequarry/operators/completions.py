@@ -192,7 +192,7 @@ def example_calls(calls: DataFrame, seed: int = 0) -> DataFrame:
     """fut_no, example: one captured call of each, chosen by hash, as "k=v" lines and the output."""
     lines = F.array_join(F.transform(F.array_sort(F.map_entries(F.from_json("inputs", "map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), "\n")
     text = F.concat(F.coalesce(lines, F.lit("")), F.lit("\noutput="), F.coalesce("output", F.lit("null")))
-    order = F.struct(F.xxhash64("fut_no", "round_no", "call_no", F.lit(seed)), "round_no", "call_no")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "fut_no", "round_no", "call_no"))
     return calls.groupBy("fut_no").agg(F.min_by(text, order).alias("example"))
 
 

@@ -54,12 +54,11 @@ def genexec_worklist(s, d):
 
 
 def oversample_snapshots(s, d):
-    """Every round's tests with those of the rounds before, a later test id replacing an earlier one."""
-    t = nested.tests(_fut(s, d))
-    n = _fut(s, d).select("fut_no", F.posexplode("test_history.history").alias("round_no", "h")).select("fut_no", F.col("round_no").cast("long").alias("upto")).distinct()
-    both = n.join(t, "fut_no").where("round_no <= upto")
-    last = both.groupBy("fut_no", "upto", "test_id").agg(F.max_by(F.struct("code"), "round_no").alias("c"))
-    return last.groupBy("fut_no", "upto").agg(F.count("*").alias("n_tests"), F.sum(F.coalesce(F.length("c.code"), F.lit(0))).alias("n_chars"))
+    """Three rounds of further tests: each is the first test that the stored history has for the round."""
+    codes = nested.tests(_fut(s, d)).where("code is not null").groupBy(F.col("fut_no").alias("unit_id"), "round_no").agg(F.min_by("code", "test_id").alias("code"))
+    seeds = codes.where("round_no = 0").select("unit_id", F.create_map(F.lit("test_0"), F.col("code")).alias("tests"))
+    out = feedback.oversample(seeds, lambda state, number: codes.where(F.col("round_no") == number).select("unit_id", "code"), 3)
+    return out.select("unit_id", "round_no", F.size("tests").cast("long").alias("n_tests"), F.aggregate(F.map_values("tests"), F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("n_chars"))
 
 
 def _tasks(s, d):
@@ -82,9 +81,10 @@ def chat_update(s, d):
 
 def cache_misses(s, d):
     """Prompts of model-b and model-c that model-a wasn't asked."""
-    t = _tasks(s, d).where("chat_messages is not null").select("task_no", "gen_model", F.sha2(F.concat_ws("\x1f", F.transform("chat_messages", lambda m: F.concat_ws("\x1e", m["role"], m["content"]))), 256).alias("key"))
-    have = t.where("gen_model = 'model-a'").select("key")
-    return t.where("gen_model <> 'model-a'").join(have, "key", "left_anti").select("task_no", "gen_model", "key").distinct()
+    t = _tasks(s, d).where("chat_messages is not null").select(F.col("task_no").alias("unit_id"), "gen_model", "chat_messages").distinct()
+    settings = completions.ModelSettings()
+    cache = t.where("gen_model = 'model-a'").select(ids.prompt_key("chat_messages", settings.key()).alias("key"))
+    return completions.misses(t.where("gen_model <> 'model-a'"), cache, settings).select("unit_id", "gen_model").distinct()
 
 
 def captured_types(s, d):
@@ -99,7 +99,9 @@ def example_calls(s, d):
 def exec_payloads(s, d):
     f = _fut(s, d).select(F.col("file.file_module.repo.repo_id").alias("repo_id"), F.col("file.file_module.module_id.identifier").alias("module"), F.col("function_id.identifier").alias("unit_id"), F.try_element_at("test_history.history", F.lit(-1))["tests"].alias("tests"))
     f = f.where("repo_id is not null and module is not null and tests is not null").select("repo_id", ids.path_from_identifier("module").alias("path"), "unit_id", F.lit(None).cast("string").alias("function_name"), "tests")
-    return execution.payloads(f).select("repo_id", "path", F.length("payload").cast("long").alias("n_chars"))
+    p = execution.payloads(f).withColumn("p", F.from_json("payload", "names array<string>, tests map<string,string>"))
+    chars = F.aggregate(F.map_values("p.tests"), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x), F.lit(0)))
+    return p.select("repo_id", "path", F.array_join("p.names", ",").alias("names"), F.array_join(F.array_sort(F.map_keys("p.tests")), ",").alias("test_ids"), chars.alias("n_chars"))
 
 
 def init_errors(s, d):
@@ -187,15 +189,22 @@ SQL = {
  pr AS (SELECT round_no, count(DISTINCT fut_no) AS n_units, count(DISTINCT fut_no) FILTER (status = 'good') AS n_good FROM c GROUP BY 1)
  SELECT pr.round_no, n_units, n_good, round(n_good::DOUBLE / n_units, 6) AS good_ratio, round((SELECT count(*) FROM f WHERE good_at <= pr.round_no)::DOUBLE / (SELECT count(*) FROM f), 6) AS good_so_far FROM pr""",
     "genexec_worklist": _STATUS + ", c AS (SELECT * FROM st WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fut_no ORDER BY round_no DESC) = 1) SELECT fut_no, round_no, status FROM c WHERE status <> 'good'",
-    "oversample_snapshots": _TESTS + """, n2 AS (SELECT DISTINCT fut_no, round_no AS upto FROM r), b AS (SELECT t.fut_no, n2.upto, t.test_id, t.code FROM n2 JOIN t ON t.fut_no = n2.fut_no AND t.round_no <= n2.upto
- QUALIFY row_number() OVER (PARTITION BY t.fut_no, n2.upto, t.test_id ORDER BY t.round_no DESC) = 1) SELECT fut_no, upto, count(*) AS n_tests, sum(coalesce(length(code), 0))::BIGINT AS n_chars FROM b GROUP BY 1, 2""",
+    "oversample_snapshots": _TESTS + """, f AS (SELECT fut_no AS unit_id, round_no, arg_min(code, test_id) AS code FROM t WHERE code IS NOT NULL GROUP BY 1, 2), k AS (SELECT unnest(range(0, 4)) AS round_no)
+ SELECT z.unit_id, k.round_no, count(*) AS n_tests, sum(length(f.code))::BIGINT AS n_chars FROM f z CROSS JOIN k JOIN f ON f.unit_id = z.unit_id AND f.round_no <= k.round_no WHERE z.round_no = 0 GROUP BY 1, 2""",
     "code_blocks": "WITH a AS (SELECT DISTINCT task_no, generated_test, string_split(generated_test, chr(10)) AS l FROM spec_tasks), b AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: contains(l[i], '```')) AS f FROM a) SELECT task_no, "
     + _BLOCK.format(a=1, b=2) + " AS first_block, " + _BLOCK.format(a=-2, b=-1) + " AS last_block FROM b",
     "chat_turns": "WITH a AS (SELECT task_no, unnest(chat_messages) AS m, unnest(range(len(chat_messages))) AS turn FROM spec_tasks) SELECT DISTINCT task_no, turn, m.role AS role, m.content AS content FROM a",
     "chat_update": """SELECT DISTINCT task_no, (coalesce(len(chat_messages), 0) - CASE WHEN chat_messages[-1].role = 'assistant' THEN 1 ELSE 0 END + 2)::BIGINT AS n_messages, generated_test AS answer,
  'The last test failed:' || chr(10) || 'KeyError' || chr(10) || 'Please correct the test of `f`.' AS feedback, 'user' AS last_role FROM spec_tasks WHERE generated_test IS NOT NULL""",
-    "cache_misses": """WITH t AS (SELECT DISTINCT task_no, gen_model, sha256(array_to_string(list_transform(chat_messages, lambda m: CASE WHEN m.role IS NULL THEN coalesce(m.content, '') WHEN m.content IS NULL THEN m.role ELSE m.role || chr(30) || m.content END), chr(31))) AS key
- FROM spec_tasks WHERE chat_messages IS NOT NULL) SELECT task_no, gen_model, key FROM t WHERE gen_model <> 'model-a' AND key NOT IN (SELECT key FROM t WHERE gen_model = 'model-a')""",
+    "cache_misses": """WITH t AS (SELECT DISTINCT task_no AS unit_id, gen_model, chat_messages::VARCHAR AS chat FROM spec_tasks WHERE chat_messages IS NOT NULL)
+ SELECT DISTINCT unit_id, gen_model FROM t WHERE gen_model <> 'model-a' AND chat NOT IN (SELECT chat FROM t WHERE gen_model = 'model-a')""",
+    "exec_payloads": """WITH f AS (SELECT DISTINCT file.file_module.repo.repo_id AS repo_id, replace(file.file_module.module_id.identifier, '.', '/') || '.py' AS path, function_id.identifier AS unit_id, test_history.history[-1].tests AS tests FROM functions_under_test),
+ t AS (SELECT repo_id, path, unit_id, unnest(map_entries(tests)) AS e FROM f WHERE repo_id IS NOT NULL AND path IS NOT NULL), g AS (SELECT repo_id, path, e.key AS test_id, arg_min(coalesce(length(e.value), 0), coalesce(unit_id, '~')) AS n FROM t GROUP BY 1, 2, 3),
+ n AS (SELECT repo_id, path, string_agg(DISTINCT string_split(unit_id, '.')[-1], ',' ORDER BY string_split(unit_id, '.')[-1]) AS names FROM t GROUP BY 1, 2), s AS (SELECT repo_id, path, string_agg(test_id, ',' ORDER BY test_id) AS test_ids, sum(n)::BIGINT AS n_chars FROM g GROUP BY 1, 2)
+ SELECT s.repo_id, s.path, coalesce(n.names, '') AS names, s.test_ids, s.n_chars FROM s JOIN n ON n.repo_id = s.repo_id AND n.path = s.path""",
+    "example_calls": _CALLS + """, v AS (SELECT fut_no, round_no, call_no, map_entries(TRY_CAST(o -> '$.inputs' AS MAP(VARCHAR, JSON))) AS es, o -> '$.output' AS out FROM c),
+ w AS (SELECT *, array_to_string(list_transform(list_sort(es), lambda e: e.key || '=' || CASE json_type(e.value) WHEN 'VARCHAR' THEN e.value ->> '$' WHEN 'NULL' THEN 'null' ELSE e.value::VARCHAR END), chr(10)) AS lines FROM v)
+ SELECT fut_no, arg_min(coalesce(lines, '') || chr(10) || 'output=' || CASE WHEN out IS NULL OR json_type(out) = 'NULL' THEN 'null' WHEN json_type(out) = 'VARCHAR' THEN out ->> '$' ELSE out::VARCHAR END, md5('0:' || fut_no || ':' || round_no || ':' || call_no)) AS example FROM w GROUP BY 1""",
     "captured_types": _CALLS + ", a0 AS (SELECT fut_no, unnest(map_entries(TRY_CAST(o -> '$.inputs' AS MAP(VARCHAR, JSON)))) AS e FROM c), a1 AS (SELECT DISTINCT fut_no, e.key AS arg, " + _TYPE.format("e.value") + " AS t FROM a0), "
     + "a2 AS (SELECT fut_no, arg, string_agg(t, ', ' ORDER BY t) AS types FROM a1 GROUP BY 1, 2), a AS (SELECT fut_no, string_agg(arg || ': ' || types, '; ' ORDER BY arg) AS argument_types FROM a2 GROUP BY 1), "
     + "o1 AS (SELECT DISTINCT fut_no, " + _TYPE.format("o -> '$.output'") + " AS t FROM c), o2 AS (SELECT fut_no, string_agg(coalesce(t, 'VOID'), ', ' ORDER BY t) AS output_types FROM o1 GROUP BY 1) "

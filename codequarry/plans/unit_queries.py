@@ -102,16 +102,29 @@ def graph_merge(s, d):
     return callgraph.merged(_graphs(s, d), roots)
 
 
+def _known(s, d):
+    """The modules of functions that are called."""
+    t = callgraph.typed_callees(_graphs(s, d)).where("callee_type = 'FUNCTION'")
+    return t.select(ids.parent_identifier("callee").alias("module_id"))
+
+
 def graph_known(s, d):
-    known = _files(s, d).select(F.col("module_id.identifier").alias("module_id"))
+    known = _known(s, d)
     return callgraph.drop_unresolvable(_graphs(s, d), known).select("graph_no", "caller", "callee", "ord")
 
 
 def graph_unresolved(s, d):
-    known = _files(s, d).select(F.col("module_id.identifier").alias("module_id"))
+    known = _known(s, d)
     return callgraph.unresolvable_ids(_graphs(s, d), known)
 
 
+def _classed(s, d):
+    """The graphs with a CLASS for what every METHOD stands in."""
+    methods = F.map_keys(F.map_filter("id2type", lambda k, v: v == "METHOD"))
+    owners = F.array_except(F.array_distinct(F.transform(methods, lambda m: ids.parent_identifier(m))), F.map_keys("id2type"))
+    return _graphs(s, d).withColumn("id2type", F.map_concat("id2type", F.map_from_entries(F.transform(owners, lambda o: F.struct(o, F.lit("CLASS"))))))
+
+
 def reach3(s, d):
     g = _graphs(s, d)
     called = callgraph.edges(g).select("graph_no", F.col("callee").alias("node_id")).distinct()
@@ -181,7 +194,7 @@ QUERIES = {
     "local_paths": local_paths, "id_types": id_types, "identifiers": identifiers, "repo_ids": repo_ids, "hidden_files": hidden_files, "units_union": units_union, "units_topk": units_topk, "unit_lines": unit_lines, "name_filter": name_filter, "decorator_filter": decorator_filter,
     "callee_filter": callee_filter, "elided_code": elided_code, "array_summaries": array_summaries, "batches": batches, "image_recipe": image_recipe,
     "graph_edges": lambda s, d: callgraph.edges(_graphs(s, d)), "graph_nodes": lambda s, d: callgraph.nodes(_graphs(s, d)), "graph_typed_callees": lambda s, d: callgraph.typed_callees(_graphs(s, d)),
-    "graph_class_methods": lambda s, d: callgraph.class_methods(_graphs(s, d)), "graph_class_callees": lambda s, d: callgraph.callees_of_classes(_graphs(s, d)), "graph_roundtrip": graph_roundtrip, "graph_merge": graph_merge,
+    "graph_class_methods": lambda s, d: callgraph.class_methods(_classed(s, d)), "graph_class_callees": lambda s, d: callgraph.callees_of_classes(_classed(s, d)), "graph_roundtrip": graph_roundtrip, "graph_merge": graph_merge,
     "graph_known": graph_known, "graph_unresolved": graph_unresolved, "reach3": reach3, "asof_definitions": asof_definitions, "context_naive": context_naive, "context_budget": context_budget,
     "extract_status": lambda s, d: extract.parse_status(_files(s, d)), "extract_all": lambda s, d: extract.all_units(_files(s, d)).select("file_no", "unit_id", "def_ord", "unit_kind", "name", "n_args", "n_body", "n_code_lines", "docstring"),
     "extract_units": lambda s, d: extract.extract_units(_files(s, d), load(s, d, "call_graphs").select("repo_id", "graph")).select("file_no", "unit_id", "def_ord", "unit_kind", "name"),
@@ -204,14 +217,18 @@ nodes AS (SELECT ids.graph_no, ids.node_id, coalesce(t.elem_type, 'OTHER') AS el
 
 _PARENT = "array_to_string(list_slice(string_split({0}, '.'), 1, greatest(len(string_split({0}, '.')) - {1}, 0)), '.')"
 _IDENT = "replace(regexp_replace(rel_path, '\\.py$', ''), '/', '.')"
-_METHODS = ", cm AS (SELECT n.graph_no, c.node_id AS class_id, n.node_id AS method_id FROM nodes n JOIN nodes c ON c.graph_no = n.graph_no AND c.elem_type = 'CLASS' AND c.node_id = " + _PARENT.format("n.node_id", 1) + ")"
+_METHODS = ", cs AS (SELECT graph_no, node_id FROM nodes WHERE elem_type = 'CLASS' UNION SELECT graph_no, " + _PARENT.format("node_id", 1) + " FROM t WHERE elem_type = 'METHOD' AND " + _PARENT.format("node_id", 1) + " NOT IN (SELECT x.node_id FROM t x WHERE x.graph_no = t.graph_no)), ns AS (SELECT graph_no, node_id FROM nodes UNION SELECT graph_no, node_id FROM cs), cm AS (SELECT n.graph_no, c.node_id AS class_id, n.node_id AS method_id FROM ns n JOIN cs c ON c.graph_no = n.graph_no AND c.node_id = " + _PARENT.format("n.node_id", 1) + ")"
 _UNITS = f"""SELECT DISTINCT unit_no, 'function' AS unit_kind, function_id.identifier AS unit_id, coalesce(function_name, string_split(function_id.identifier, '.')[-1]) AS name, NULL::VARCHAR AS class_id FROM code_functions
  UNION SELECT DISTINCT unit_no, 'method', method_id.identifier, coalesce(method_name, string_split(method_id.identifier, '.')[-1]), coalesce(parent_class_id.identifier, {_PARENT.format('method_id.identifier', 1)}) FROM code_methods"""
 _PREFIX = " OR ".join(f"starts_with(lower(name), '{p}')" for p in extract.NAME_PREFIXES)
-_KNOWN = ", k AS (SELECT DISTINCT module_id.identifier AS m FROM files WHERE module_id.identifier IS NOT NULL)"
+_KNOWN = ", k AS (SELECT DISTINCT " + _PARENT.format("callee", 1) + " AS m FROM e JOIN nodes n ON n.graph_no = e.graph_no AND n.node_id = e.callee AND n.elem_type = 'FUNCTION')"
 _CODE = "SELECT DISTINCT unit_no, function_code AS c FROM code_functions WHERE function_code IS NOT NULL"
 
 SQL = {
+    "packages": """WITH f AS (SELECT DISTINCT file_no, repo_id, regexp_replace(rel_path, '/?[^/]*$', '') AS dir FROM files WHERE rel_path LIKE '%.py'), p AS (SELECT DISTINCT repo_id, regexp_replace(rel_path, '/?[^/]*$', '') AS dir FROM files WHERE regexp_matches(rel_path, '(^|/)__init__\\.py$')),
+ d AS (SELECT *, string_split(dir, '/') AS parts, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS depth FROM f), u AS (SELECT *, unnest(range(0, depth + 1)) AS ups FROM d), a AS (SELECT *, array_to_string(list_slice(parts, 1, depth - ups), '/') AS anc FROM u),
+ r AS (SELECT a.file_no, a.parts, a.depth, coalesce(min(CASE WHEN p.dir IS NULL THEN a.ups END), a.depth) AS ups FROM a LEFT JOIN p ON p.repo_id = a.repo_id AND p.dir = a.anc GROUP BY a.file_no, a.parts, a.depth)
+ SELECT file_no, array_to_string(list_slice(parts, 1, depth - ups), '/') AS package_root, CASE WHEN ups = 0 THEN parts[-1] ELSE array_to_string(list_slice(parts, depth - ups + 1, depth), '.') END AS package FROM (SELECT file_no, parts, depth, min(ups) AS ups FROM r GROUP BY file_no, parts, depth)""",
     "local_paths": """WITH f AS (SELECT DISTINCT repo_id, rel_path AS path, replace(regexp_replace(regexp_replace(rel_path, '/__init__\\.py$', ''), '\\.py$', ''), '/', '.') AS prefix FROM files),
  b AS (SELECT repo_id, prefix, path FROM f QUALIFY row_number() OVER (PARTITION BY repo_id, prefix ORDER BY length(path), path) = 1), i AS (SELECT DISTINCT repo_id, function_id.identifier AS identifier FROM code_functions WHERE function_id.identifier IS NOT NULL),
  m AS (SELECT i.repo_id, i.identifier, b.path FROM i JOIN b ON b.repo_id = i.repo_id AND (i.identifier = b.prefix OR starts_with(i.identifier, b.prefix || '.')) QUALIFY row_number() OVER (PARTITION BY i.repo_id, i.identifier ORDER BY length(b.prefix) DESC) = 1)
