@@ -52,6 +52,50 @@ class StubProvider:
         return [f"```python\n# {last[0] if last else ''}\n```"] * settings.n
 
 
+class EndpointProvider:
+    """Completions from a server that speaks the widespread chat-completions protocol (hosted models
+    and local inference servers alike). The key is read, in the worker, from an environment
+    variable; nothing is sent without a call."""
+
+    def __init__(self, url: str, key_variable: str | None = None):
+        self.url, self.key_variable = url, key_variable
+
+    def complete(self, messages, settings):
+        import json
+        import os
+        from urllib.request import Request, urlopen
+
+        head = {"Content-Type": "application/json"}
+        if self.key_variable and os.environ.get(self.key_variable):
+            head["Authorization"] = f"Bearer {os.environ[self.key_variable]}"
+        body = {"model": settings.model, "messages": messages, "n": settings.n, "top_p": settings.top_p, "max_tokens": settings.max_tokens, "temperature": settings.temperature}
+        with urlopen(Request(self.url, json.dumps(body).encode(), head), timeout=settings.timeout) as answer:
+            return [c["message"]["content"] for c in json.load(answer)["choices"]]
+
+
+def within(seconds: float, call: Callable, *args):
+    """call(*args), or TimeoutError after some seconds; the call then ends by itself, unheard."""
+    from threading import Thread
+
+    got: list = []
+
+    def run():
+        try:
+            got.append((True, call(*args)))
+        except Exception as e:  # handed on to the caller
+            got.append((False, e))
+
+    thread = Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not got:
+        raise TimeoutError(f"no answer within {seconds} s")
+    good, value = got[0]
+    if not good:
+        raise value
+    return value
+
+
 # ---------------------------------------------------------------- prompts
 
 SYSTEM = "You write unit tests for Python code. Answer with one fenced block of code."
@@ -119,9 +163,10 @@ def misses(prompts: DataFrame, cache: DataFrame, settings: ModelSettings) -> Dat
 
 
 def completed(prompts: DataFrame, provider: CompletionProvider, settings: ModelSettings = ModelSettings(), cache: DataFrame | None = None, retries: int = 2) -> DataFrame:
-    """unit_id, key, completions, status, error. Hits come from the cache; a failing call is
-    tried again `retries` times and then is a row with status error. Rows leave the provider
-    in Arrow batches, repeated prompts are asked once."""
+    """unit_id, key, completions, status (ok, timeout, error), error. Hits come from the cache; a
+    failing call is tried again `retries` times and then is a row with status error, or timeout
+    where it took longer than settings.timeout seconds. Rows leave the provider in Arrow
+    batches, repeated prompts are asked once."""
     keyed = prompts.withColumn("key", prompt_key("chat_messages", settings.key()))
     asked = (misses(prompts, cache, settings) if cache is not None else keyed).select("key", "chat_messages").dropDuplicates(["key"])
 
@@ -132,11 +177,11 @@ def completed(prompts: DataFrame, provider: CompletionProvider, settings: ModelS
                 chat = [dict(m) if isinstance(m, dict) else m.asDict() for m in messages]
                 for attempt in range(retries + 1):
                     try:
-                        out.append((key, list(provider.complete(chat, settings)), "ok", None))
+                        out.append((key, list(within(settings.timeout, provider.complete, chat, settings)), "ok", None))
                         break
                     except Exception as e:  # a provider's failure is data
                         if attempt == retries:
-                            out.append((key, None, "error", f"{type(e).__name__}: {e}"))
+                            out.append((key, None, "timeout" if isinstance(e, TimeoutError) else "error", f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["key", "completions", "status", "error"])
 
     new = asked.mapInPandas(run, "key string, completions array<string>, status string, error string")
@@ -145,6 +190,11 @@ def completed(prompts: DataFrame, provider: CompletionProvider, settings: ModelS
     return keyed.select("unit_id", "key").join(new, "key").select("unit_id", "key", "completions", "status", "error")
 
 
+def status_counts(done: DataFrame) -> DataFrame:
+    """One row: total, ok, timeouts and errors of what completed or executed gave."""
+    return done.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "ok"), ("timeout", "timeouts"), ("error", "errors"))))
+
+
 def cache_rows(done: DataFrame) -> DataFrame:
     """What may enter the cache: successes only."""
     return done.where("status = 'ok'").select("key", "completions").dropDuplicates(["key"])
@@ -196,10 +246,16 @@ def example_calls(calls: DataFrame, seed: int = 0) -> DataFrame:
     return calls.groupBy("fut_no").agg(F.min_by(text, order).alias("example"))
 
 
-def annotated(code_rows: DataFrame, mark: str = "# not reached") -> DataFrame:
-    """fut_no, annotated: the code with a mark, of the line's indent, before each unexecuted line.
-    code_rows: fut_no, code, start_line (of the code's first line), unexecuted_lines."""
-    lines = code_rows.select("fut_no", "start_line", "unexecuted_lines", F.posexplode(F.split("code", "\n")).alias("pos", "line"))
-    hit = F.coalesce(F.array_contains("unexecuted_lines", F.col("pos").cast("long") + F.col("start_line")), F.lit(False))
+def annotated(code_rows: DataFrame, mark: str = "# not reached", lines: str = "unexecuted_lines") -> DataFrame:
+    """fut_no, annotated: the code with a mark, of the line's indent, before each line whose number
+    `lines` (an array) holds: unexecuted lines, or branches that weren't taken. code_rows:
+    fut_no, code, lines, start_line (number of the code's first line) and, to give a part of
+    a file only, first_line and last_line (null: no bound)."""
+    bounds = [c for c in ("first_line", "last_line") if c in code_rows.columns]
+    rows = code_rows.select("fut_no", "start_line", lines, *bounds, F.posexplode(F.split("code", "\n")).alias("pos", "line"))
+    number = F.col("pos").cast("long") + F.col("start_line")
+    if bounds:
+        rows = rows.where((F.coalesce(number >= F.col("first_line"), F.lit(True)) if "first_line" in bounds else F.lit(True)) & (F.coalesce(number <= F.col("last_line"), F.lit(True)) if "last_line" in bounds else F.lit(True)))
+    hit = F.coalesce(F.array_contains(lines, number), F.lit(False))
     text = F.when(hit, F.concat(F.regexp_extract("line", r"^(\s*)", 1), F.lit(f"{mark}\n"), F.col("line"))).otherwise(F.col("line"))
-    return lines.groupBy("fut_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "\n").alias("annotated"))
+    return rows.groupBy("fut_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "\n").alias("annotated"))

@@ -87,6 +87,23 @@ def summary(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.count_if(c > 80).alias("above_80"), F.count_if(c > 90).alias("above_90"), F.count_if(c == 100).alias("at_100"))
 
 
+def labelled_report(futs: DataFrame) -> DataFrame:
+    """(label, measure, value): the printed report in long form. Percentages (line and branch coverage,
+    pass ratios times 100) count values above 80, above 90 and at 100; whole numbers (executed
+    lines) those at 1, at 2, above 5 and above 10. Means and deviations of nothing are null."""
+    s = scored(futs).withColumn("pass_percent", F.col("pass_ratio") * 100)
+    percent = [("above_80", lambda c: c > 80), ("above_90", lambda c: c > 90), ("at_100", lambda c: c == 100)]
+    number = [("at_1", lambda c: c == 1), ("at_2", lambda c: c == 2), ("above_5", lambda c: c > 5), ("above_10", lambda c: c > 10)]
+    cells, aggs = [], []
+    for label, steps in (("line_coverage", percent), ("branch_coverage", percent), ("pass_percent", percent), ("executed_lines", number)):
+        c = F.col(label)
+        for measure, value in [("n", F.count(c)), ("mean", F.avg(c)), ("std", F.stddev_pop(c)), *((m, F.count_if(f(c))) for m, f in steps)]:
+            name = f"{label}:{measure}"
+            aggs.append(F.round(value.cast("double"), 6).alias(name))
+            cells.append(F.struct(F.lit(label).alias("label"), F.lit(measure).alias("measure"), F.col(f"`{name}`").alias("value")))
+    return s.agg(*aggs).select(F.inline(F.array(*cells)))
+
+
 def error_types(texts: DataFrame, column: str) -> DataFrame:
     """(error_type, n) of the lines that begin with an error's plain name."""
     lines = texts.select(F.explode(F.split(column, "\n")).alias("line"))

@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESULT = "unit_id string, has_stats boolean, passing boolean, coverage double, error string, logs string"
+RESULT = "unit_id string, has_stats boolean, passing boolean, coverage double, error string, logs string, status string"
+#: Seconds that a unit's tests may take.
+TIMEOUT = 300
 
 
 class ExecutionProvider(Protocol):
@@ -22,10 +24,35 @@ class ExecutionProvider(Protocol):
     def run(self, unit: dict, tests: dict[str, str]) -> dict: ...
 
 
-def executed(units: DataFrame, provider: ExecutionProvider) -> DataFrame:
-    """RESULT of every unit (unit_id, tests and what the provider reads)."""
+class CommandProvider:
+    """Hands each unit and its tests, as JSON on standard input, to an external command (the client
+    of a container or a remote sandbox) and reads the log, as JSON, from its output. One
+    process serves one unit and is stopped after `timeout` seconds."""
+
+    def __init__(self, command: list[str], timeout: float = TIMEOUT):
+        self.command, self.timeout = command, timeout
+
+    def run(self, unit: dict, tests: dict[str, str]) -> dict:
+        import json
+        import subprocess
+
+        plain = {k: v for k, v in unit.items() if isinstance(v, (str, int, float, bool)) or v is None}
+        try:
+            done = subprocess.run(self.command, input=json.dumps({"unit": plain, "tests": tests}), capture_output=True, text=True, timeout=self.timeout, check=True)
+        except subprocess.TimeoutExpired:
+            raise TimeoutError(f"no log within {self.timeout} s") from None
+        except subprocess.CalledProcessError as e:
+            raise RuntimeError(f"exit {e.returncode}: {e.stderr.strip()[-500:]}") from None
+        return json.loads(done.stdout)
+
+
+def executed(units: DataFrame, provider: ExecutionProvider, timeout: float = TIMEOUT) -> DataFrame:
+    """RESULT of every unit (unit_id, tests and what the provider reads). status: ok, timeout after
+    some seconds, or error; either of those is a row whose error says why."""
     import json
 
+    from .completions import within
+
     names = units.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,13 +62,13 @@ def executed(units: DataFrame, provider: ExecutionProvider) -> DataFrame:
                 unit = dict(zip(names, values))
                 tests = dict(unit.pop("tests") or {})
                 try:
-                    log = provider.run(unit, tests)
+                    log = within(timeout, provider.run, unit, tests)
                     valid = [bool(v.get("valid")) for v in (log.get("run_tests_logs") or {}).values()]
                     cov = (log.get("coverage_logs") or [{}])[-1].get("branch_coverage_percentage")
-                    out.append((unit["unit_id"], True, "error" not in log and all(valid), cov, log.get("error"), json.dumps(log)))
+                    out.append((unit["unit_id"], True, "error" not in log and all(valid), cov, log.get("error"), json.dumps(log), "ok"))
                 except Exception as e:
-                    out.append((unit["unit_id"], True, False, None, f"{type(e).__name__}: {e}", None))
-            yield pd.DataFrame(out, columns=["unit_id", "has_stats", "passing", "coverage", "error", "logs"])
+                    out.append((unit["unit_id"], True, False, None, f"{type(e).__name__}: {e}", None, "timeout" if isinstance(e, TimeoutError) else "error"))
+            yield pd.DataFrame(out, columns=["unit_id", "has_stats", "passing", "coverage", "error", "logs", "status"])
 
     return units.mapInPandas(run, RESULT)
 

@@ -97,6 +97,16 @@ def loop(units: DataFrame, generate: Callable[[DataFrame, int], DataFrame], exec
     return state
 
 
+def with_round(futs: DataFrame, results: DataFrame, operation: str, model: str, when: str) -> DataFrame:
+    """futs with one more round at the end of test_history.history of each record that results (fut_no,
+    tests, exec_stats, chat_messages) has; a null history begins with it. when: its gen_date."""
+    new = results.select("fut_no", F.struct("tests", F.lit(operation).alias("operation"), F.lit(model).alias("gen_model"), F.lit(when).alias("gen_date"), "exec_stats", "chat_messages").alias("_round"))
+    kind = futs.schema["test_history"].dataType["history"].dataType.simpleString()
+    joined = futs.join(new, "fut_no", "left")
+    longer = F.struct(F.concat(F.coalesce("test_history.history", F.array().cast(kind)), F.array("_round").cast(kind)).alias("history"))
+    return joined.select(*(F.when(F.col("_round").isNull(), F.col(c)).otherwise(longer).alias(c) if c == "test_history" else F.col(c) for c in futs.columns))
+
+
 def oversample(seeds: DataFrame, generate: Callable[[DataFrame, int], DataFrame], rounds: int) -> DataFrame:
     """(unit_id, round_no, tests): each round's snapshot holds all tests so far.
 

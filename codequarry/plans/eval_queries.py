@@ -115,6 +115,17 @@ def coverage_marks(s, d):
     return completions.annotated(f)
 
 
+def branch_marks(s, d):
+    """Lines 2 to 6 of each function, the first three lines of even number marked as branches not taken."""
+    f = load(s, d, "code_functions").where("function_code is not null").select(F.col("unit_no").alias("fut_no"), F.col("function_code").alias("code")).distinct()
+    f = f.select("*", F.lit(1).cast("long").alias("start_line"), F.array(*(F.lit(k).cast("long") for k in (2, 4, 6))).alias("branches"), F.lit(2).alias("first_line"), F.lit(6).alias("last_line"))
+    return completions.annotated(f, "# not taken", "branches")
+
+
+def eval_lines(s, d):
+    return evaluate.scored(_fut(s, d)).where("executed_lines is not null").select("fut_no", "executed_lines", F.round("line_coverage", 6).alias("line_coverage"))
+
+
 def tests_without_failures(s, d):
     return feedback.without_failures(nested.tests(_fut(s, d)), nested.errors(_fut(s, d)))
 
@@ -123,7 +134,7 @@ QUERIES = {
     "tests_without_failures": tests_without_failures, "eval_overall": lambda s, d: evaluate.report(_fut(s, d)), "eval_units": eval_units, "eval_pass_ratio": eval_pass_ratio, "eval_coverage": eval_coverage, "eval_error_types": eval_error_types,
     "history_latest": history_latest, "history_errors": history_errors, "history_passing": history_passing, "genexec_status": genexec_status, "genexec_progress": genexec_progress, "genexec_worklist": genexec_worklist,
     "oversample_snapshots": oversample_snapshots, "code_blocks": code_blocks, "chat_turns": chat_turns, "chat_update": chat_update, "cache_misses": cache_misses, "captured_types": captured_types, "example_calls": example_calls,
-    "exec_payloads": exec_payloads, "init_errors": init_errors, "coverage_marks": coverage_marks,
+    "exec_payloads": exec_payloads, "init_errors": init_errors, "coverage_marks": coverage_marks, "branch_marks": branch_marks, "eval_labelled": lambda s, d: evaluate.labelled_report(_fut(s, d)), "eval_lines": eval_lines,
 }
 
 _ROUNDS = """
@@ -171,6 +182,17 @@ SQL = {
  round(100.0 * count(DISTINCT fut_no) FILTER (valid) / nullif(count(DISTINCT fut_no) FILTER (runnable), 0), 6) AS validity FROM sc""",
     "eval_units": _SCORED + " SELECT fut_no, runnable, valid, passed, failed, errored, round(pass_ratio, 6) AS pass_ratio, all_failed, all_errored, executed_lines FROM sc",
     "eval_pass_ratio": _SCORED + " " + _SUMMARY.format("100 * pass_ratio"),
+    "eval_lines": _SCORED + " SELECT fut_no, executed_lines, round(line_coverage, 6) AS line_coverage FROM sc WHERE executed_lines IS NOT NULL",
+    "eval_labelled": _SCORED + ", v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS label, {x}::DOUBLE AS x FROM sc" for n, x in (("line_coverage", "line_coverage"), ("branch_coverage", "branch_coverage"), ("pass_percent", "100 * pass_ratio"), ("executed_lines", "executed_lines"))) + ") "
+    + " UNION ALL ".join(
+        f"SELECT label, '{m}' AS measure, round(({a})::DOUBLE, 6) AS value FROM v WHERE {w} GROUP BY label"
+        for m, a, w in [
+            ("n", "count(x)", "true"), ("mean", "avg(x)", "true"), ("std", "stddev_pop(x)", "true"), ("above_80", "count(*) FILTER (x > 80)", "label <> 'executed_lines'"), ("above_90", "count(*) FILTER (x > 90)", "label <> 'executed_lines'"), ("at_100", "count(*) FILTER (x = 100)", "label <> 'executed_lines'"),
+            ("at_1", "count(*) FILTER (x = 1)", "label = 'executed_lines'"), ("at_2", "count(*) FILTER (x = 2)", "label = 'executed_lines'"), ("above_5", "count(*) FILTER (x > 5)", "label = 'executed_lines'"), ("above_10", "count(*) FILTER (x > 10)", "label = 'executed_lines'"),
+        ]
+    ),
+    "branch_marks": """WITH f AS (SELECT DISTINCT unit_no AS fut_no, string_split(function_code, chr(10)) AS l FROM code_functions WHERE function_code IS NOT NULL), g AS (SELECT fut_no, list_slice(l, 2, 6) AS l FROM f WHERE len(l) >= 2)
+ SELECT fut_no, array_to_string(list_transform(l, lambda s, i: CASE WHEN i % 2 = 1 THEN regexp_extract(s, '^(\\s*)', 1) || '# not taken' || chr(10) || s ELSE s END), chr(10)) AS annotated FROM g""",
     "eval_coverage": _SCORED + " " + _SUMMARY.format("branch_coverage"),
     "eval_error_types": _ROUNDS + """, t AS (SELECT unnest([error, output]) AS t FROM rounds), l AS (SELECT unnest(string_split(t, chr(10))) AS l FROM t WHERE t IS NOT NULL),
  e AS (SELECT regexp_extract(l, '^(\\w+Error|Exception): (.+)', 1) AS error_type FROM l) SELECT error_type, count(*) AS n FROM e WHERE error_type <> '' GROUP BY 1""",

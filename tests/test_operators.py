@@ -107,6 +107,56 @@ def test_loop_calls_providers_once_and_keeps_the_chat(spark, tmp_path):
     assert "attempt 3" in r.chat_messages[3].content and "failed ['attempt 3']" in r.chat_messages[4].content and "attempt 5" in r.chat_messages[5].content
 
 
+def test_slow_and_failing_providers_are_rows(spark):
+    import sys
+    import time
+
+    class Slow:
+        def complete(self, messages, settings):
+            if messages[-1]["content"] == "slow":
+                time.sleep(5)
+            if messages[-1]["content"] == "bad":
+                raise ValueError("no")
+            return ["x"]
+
+    prompts = spark.createDataFrame([(x, [("user", x)]) for x in ("slow", "bad", "good")], f"unit_id string, chat_messages {completions.CHAT}")
+    done = completions.completed(prompts, Slow(), completions.ModelSettings(timeout=1), retries=0)
+    assert {r.unit_id: r.status for r in done.collect()} == {"slow": "timeout", "bad": "error", "good": "ok"}
+    assert tuple(completions.status_counts(done).first()) == (3, 1, 1, 1)
+    code = "import json,sys,time; d=json.load(sys.stdin); time.sleep(9 if d['unit']['unit_id']=='slow' else 0); d['unit']['unit_id']=='bad' and sys.exit('broken'); print(json.dumps({'run_tests_logs': {k: {'valid': True} for k in d['tests']}}))"
+    units = spark.createDataFrame([(x, {"t": "c"}) for x in ("slow", "bad", "good")], "unit_id string, tests map<string,string>")
+    ran = {r.unit_id: r for r in execution.executed(units, execution.CommandProvider([sys.executable, "-c", code], timeout=3)).collect()}
+    assert {k: (r.status, r.passing) for k, r in ran.items()} == {"slow": ("timeout", False), "bad": ("error", False), "good": ("ok", True)} and "broken" in ran["bad"].error
+
+
+def test_endpoint_provider():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            out = json.dumps({"choices": [{"message": {"content": f"{body['model']} {body['messages'][-1]['content']}"}}] * body["n"]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    p = completions.EndpointProvider(f"http://127.0.0.1:{server.server_port}/v1/chat/completions")
+    assert p.complete([{"role": "user", "content": "hi"}], completions.ModelSettings(model="m", n=2)) == ["m hi", "m hi"]
+    server.shutdown()
+
+
+def test_a_round_is_added_to_the_history(spark, units):
+    results = spark.createDataFrame([(3, {"t": "new"}, "{}", [("user", "x")])], f"fut_no long, tests map<string,string>, exec_stats string, chat_messages {completions.CHAT}")
+    got = {r.fut_no: r.test_history.history for r in feedback.with_round(units, results, "feedback", "m2", "20250101_000000").collect()}
+    assert [len(got[n]) for n in sorted(got)] == [1, 1, 2, 1, 1] and (got[3][1].operation, got[3][1].tests, got[3][1].chat_messages[0].content) == ("feedback", {"t": "new"}, "x")
+
+
 def test_show_specs_and_verbs(spark, tmp_path):
     from codequarry import pipeline
 
