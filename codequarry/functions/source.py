@@ -85,12 +85,6 @@ def signature_and_doc(code: str | None, width: int = 100) -> tuple[str | None, s
     return f"{node.name}({ast.unparse(node.args)})", None if doc is None else textwrap.shorten(doc, width, placeholder="...")
 
 
-def find_definition(tree: ast.AST, name: str, functions_only: bool = False) -> ast.AST | None:
-    """The first definition of a name in breadth-first order."""
-    kinds = FUNCTIONS if functions_only else (*FUNCTIONS, ast.ClassDef)
-    return next((n for n in ast.walk(tree) if isinstance(n, kinds) and n.name == name), None)
-
-
 # ---------------------------------------------------------------- members, imports, calls
 
 

@@ -89,6 +89,16 @@ def specs(files: DataFrame, units: DataFrame, futs: DataFrame, provider: complet
     return completions.problems(units, completions.specs_of(done))
 
 
+def replay(units_with_tests: DataFrame, logs: DataFrame) -> DataFrame:
+    """execute from stored logs (unit_id, has_stats, passing, coverage, error): nothing runs."""
+    return execution.replayed(units_with_tests, logs)
+
+
+def check(candidates: DataFrame, runner: execution.ExecutionProvider) -> DataFrame:
+    """unit_id, valid, error: whether code (candidates: unit_id, code, tests) passes its unit's tests."""
+    return execution.equivalent(candidates, lambda c: execution.executed(c, runner))
+
+
 def list_units(units: DataFrame, limit: int = 10, detailed: bool = False) -> DataFrame:
     """The first units by id; detailed adds file, lines and docstring."""
     cols = ["unit_id", "unit_kind", "name", *(["rel_path", "n_code_lines", "docstring"] if detailed else [])]

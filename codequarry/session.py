@@ -1,5 +1,5 @@
 """Session helpers shared by all operators: table loading, lineage cuts, spreading
-of small inputs and size-checked broadcasts."""
+of small inputs."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest side, in bytes of its optimised plan, that an operator may broadcast.
-BROADCAST_LIMIT = 32 << 20
-
 
 _SHIPPED: set[str] = set()
 
@@ -83,9 +78,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """df with a broadcast hint where the optimiser's estimate is within limit; else
-    unchanged, so that the join shuffles (and AQE may split its skewed partitions)."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df

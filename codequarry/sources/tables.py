@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
+from ..session import plan_bytes
 
 REPO = "struct<repo_org:string,repo_name:string,repo_id:string,local_repo_path:string>"
 FILE = f"struct<file_module:struct<module_id:struct<identifier:string>,module_type:string,repo:{REPO}>>"
@@ -13,6 +16,10 @@ TESTS = "struct<tests:map<string,string>,operation:string,gen_model:string,gen_d
 UNIT = f"function_id struct<identifier:string>, method_id struct<identifier:string>, file {FILE}, function_name string, method_name string, parent_class_id struct<identifier:string>, function_code string, method_code string, context struct<context_type:string,context:string>, test_history struct<history:array<{TESTS}>>"
 
 
+#: Bytes that may go into one row as a JSON array.
+ARRAY_LIMIT = 64 << 20
+
+
 def repo_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
     """repo_id, rel_path, file_content of the files below root/<repo_id>/; hidden paths are left out.
     Contents are read by the executors, UTF-8, undecodable bytes replaced."""
@@ -64,14 +71,27 @@ def write_units(units: DataFrame, path: str, overwrite: bool = False) -> None:
     units.write.mode("overwrite" if overwrite else "ignore").json(path)
 
 
-def as_json_array(df: DataFrame) -> DataFrame:
-    """One row `text`: all rows as one JSON array, for small exports."""
+def as_json_array(df: DataFrame, limit: int = ARRAY_LIMIT) -> DataFrame:
+    """One row `text`: all rows as one JSON array. For exports of up to limit bytes by the
+    optimiser's estimate; larger tables are refused (write_units writes them in parts)."""
+    if plan_bytes(df) > limit:
+        raise ValueError(f"about {plan_bytes(df)} bytes don't go into one row; use write_units")
     return df.select(F.to_json(F.struct("*")).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ",\n"), F.lit("]")).alias("text"))
 
 
-def append_batch(df: DataFrame, path: str, batch: int) -> None:
-    """A batch's results under its own folder; writing it again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def in_batches(df: DataFrame, path: str, run: Callable[[DataFrame], DataFrame], batches: int, key: str = "unit_id") -> DataFrame:
+    """run(df) in parts, each written under path as soon as it is done, and all parts read again.
+
+    Rows go to parts by the hash of key, so a broken run can be started again with the same
+    arguments: parts that are complete (Spark marks them) are not run again.
+    """
+    spark = df.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for number in range(batches):
+        part = f"{path}/batch={number}"
+        if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{part}/_SUCCESS")):
+            run(df.where(F.pmod(F.xxhash64(key), F.lit(batches)) == number)).write.mode("overwrite").parquet(part)
+    return spark.read.parquet(path).drop("batch")
 
 
 def image_recipe(n: Column | int, batch: int = 10, install: str = "python install.py") -> Column:

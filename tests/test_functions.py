@@ -87,3 +87,10 @@ def test_instrument():
     s = instrument.serialized
     assert s(datetime.date(2024, 1, 2)) == "2024-01-02" and s(decimal.Decimal("1.5")) == "1.5" and s(np.zeros(30)) == "shape=(30,) dtype=float64" and s(np.array([1.234])) == "[1.23]" and len(s("x" * 999)) == 190
     assert s(object()).startswith("<object")
+
+
+def test_bodies_are_cut():
+    from codequarry.functions import rewrite
+
+    assert rewrite.without_body('def f(a):\n    """Doc."""\n    return a\n') == 'def f(a):\n    """Doc."""\n    pass' and rewrite.without_body("def (") == "def ("
+    assert rewrite.imports_rewritten("from . import é; from .b import *\nx = 1\n", "p", {(1, "b"): ["u", "v"]}) == "from p import é; from p.b import u, v\nx = 1\n"

@@ -36,6 +36,43 @@ def test_units_json(spark, tmp_path):
     assert json.loads(tables.as_json_array(spark.range(2)).first().text) == [{"id": 0}, {"id": 1}]
 
 
+def test_large_tables_make_no_array(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        tables.as_json_array(spark.range(100), limit=10)
+
+
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    units = spark.createDataFrame([(f"u{k}",) for k in range(20)], "unit_id string")
+    asked = []
+
+    def run(part):
+        asked.append(part.count())
+        if len(asked) == 3:
+            raise RuntimeError("stopped")
+        return part.withColumn("n", F.length("unit_id"))
+
+    try:
+        tables.in_batches(units, str(tmp_path / "b"), run, 4)
+        raise AssertionError("the third batch fails")
+    except RuntimeError:
+        pass
+    got = tables.in_batches(units, str(tmp_path / "b"), run, 4)
+    assert len(asked) == 5 and got.count() == 20 and got.columns == ["unit_id", "n"] and sum(asked) - asked[2] == 20
+
+
+def test_replayed_and_checked_code(spark):
+    class Runner:
+        def run(self, unit, tests):
+            return {"run_tests_logs": {k: {"valid": unit["code"] == "good"} for k in tests}}
+
+    made = spark.createDataFrame([("a", "good", {"t": "x"}), ("b", "bad", {"t": "x"})], "unit_id string, code string, tests map<string,string>")
+    assert {r.unit_id: r.valid for r in pipeline.check(made, Runner()).collect()} == {"a": True, "b": False}
+    logs = spark.createDataFrame([("a", True, True, 90.0, None)], "unit_id string, has_stats boolean, passing boolean, coverage double, error string")
+    assert {r.unit_id: (r.has_stats, r.passing) for r in pipeline.replay(made, logs).collect()} == {"a": (True, True), "b": (False, None)}
+
+
 def test_repositories_and_recipe(spark):
     urls = spark.createDataFrame([("https://h/u/r.git",), ("https://h/u/r/",), (None,)], "url string")
     assert [(r.repo_id, r.repo_org, r.repo_name) for r in tables.repos_from_urls(urls).collect()] == [("u___r", "u", "r")]
