@@ -78,12 +78,12 @@ def resolved(files: DataFrame) -> DataFrame:
 
 
 def absolute(files: DataFrame) -> DataFrame:
-    """KEYS, module (absolute), name, alias of every import: level dots lead up from the package."""
+    """KEYS, module (absolute), name, alias, is_top of every import: level dots lead up from the package."""
     rows = extract.imports(files).join(packages(files), "file_no")
     parts = F.split("package", r"\.")
     base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - F.col("level").cast("int") + 1, F.lit(0))), ".")
     module = F.when(F.col("level") == 0, F.col("module")).otherwise(F.concat_ws(".", F.when(base != "", base), "module"))
-    return rows.select("file_no", "repo_id", "rel_path", "module_id", module.alias("module"), "name", "alias")
+    return rows.select("file_no", "repo_id", "rel_path", "module_id", module.alias("module"), "name", "alias", "is_top")
 
 
 def stars_expanded(files: DataFrame, library: DataFrame | None = None) -> DataFrame:

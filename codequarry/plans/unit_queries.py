@@ -190,7 +190,33 @@ def repository_graphs(s, d):
     return g.select("repo_id", "id2type", F.explode("graph").alias("caller", "callees")).select("repo_id", "caller", F.array_join("callees", ",").alias("callees"), F.col("id2type")[F.col("caller")].alias("caller_type"))
 
 
+def _of_methods(s, d, df):
+    """Rows of files that code_methods holds methods of: those parse, as SQL alone can't tell."""
+    m = load(s, d, "code_methods").select("repo_id", F.col("file.file_module.module_id.identifier").alias("module_id")).distinct()
+    return df.join(m, ["repo_id", "module_id"], "left_semi")
+
+
+def method_imports(s, d):
+    return _of_methods(s, d, extract.imports(_files(s, d))).where("is_top").select("file_no", "level", "module", "name", "alias")
+
+
+def method_imports_resolved(s, d):
+    return _of_methods(s, d, imports.resolved(_files(s, d))).where("is_top").select("file_no", "level", "module", "name", "alias", "target").distinct()
+
+
+def method_imports_absolute(s, d):
+    return _of_methods(s, d, imports.absolute(_files(s, d))).where("is_top").select("file_no", "module", "name", "alias").distinct()
+
+
+def method_units(s, d):
+    """The extracted methods that code_methods knows, with their decorators in number."""
+    m = load(s, d, "code_methods").where("method_code is not null").select("repo_id", F.col("method_id.identifier").alias("unit_id")).distinct()
+    u = extract.all_units(_files(s, d)).where("unit_kind = 'method'").join(m, ["repo_id", "unit_id"], "left_semi")
+    return u.select("repo_id", "unit_id", "class_id", "name", F.size("decorators").cast("long").alias("n_decorators")).distinct()
+
+
 QUERIES = {
+    "method_imports": method_imports, "method_imports_resolved": method_imports_resolved, "method_imports_absolute": method_imports_absolute, "method_units": method_units,
     "local_paths": local_paths, "id_types": id_types, "identifiers": identifiers, "repo_ids": repo_ids, "hidden_files": hidden_files, "units_union": units_union, "units_topk": units_topk, "unit_lines": unit_lines, "name_filter": name_filter, "decorator_filter": decorator_filter,
     "callee_filter": callee_filter, "elided_code": elided_code, "array_summaries": array_summaries, "batches": batches, "image_recipe": image_recipe,
     "graph_edges": lambda s, d: callgraph.edges(_graphs(s, d)), "graph_nodes": lambda s, d: callgraph.nodes(_graphs(s, d)), "graph_typed_callees": lambda s, d: callgraph.typed_callees(_graphs(s, d)),
@@ -206,6 +232,18 @@ QUERIES = {
     "contexts_naive": lambda s, d: _contexts(s, d, "naive"), "contexts_called": contexts_called, "repository_graphs": repository_graphs, "imports_rewritten": lambda s, d: imports.rewritten(_files(s, d)), "module_exports": lambda s, d: imports.exports(_files(s, d)),
 }
 
+#: The imports at the top level of the modules that methods come from, by the lines they stand in.
+_IMPORTS = r"""m AS (SELECT DISTINCT repo_id, file.file_module.module_id.identifier AS module_id FROM code_methods WHERE file.file_module.module_id.identifier IS NOT NULL),
+mf AS (SELECT DISTINCT x.file_no, x.repo_id, x.rel_path, regexp_replace(x.file_content, '\r\n|\r', chr(10), 'g') AS t FROM files x JOIN m ON m.repo_id = x.repo_id AND m.module_id = replace(regexp_replace(x.rel_path, '\.py$', ''), '/', '.') WHERE x.rel_path LIKE '%.py' AND NOT regexp_matches(x.rel_path, '(^|/)\.')),
+is1 AS (SELECT file_no, unnest(regexp_extract_all(t, '(?m)^(?:import [^\n]+|from [.\w]+ import (?:\([^)]*\)|[^\n(]+))')) AS s FROM mf),
+is2 AS (SELECT file_no, starts_with(s, 'from') AS is_from, regexp_extract(s, '^from (\.*)', 1) AS dots, regexp_extract(s, '^from \.*([\w.]*) import', 1) AS m, regexp_replace(regexp_replace(regexp_replace(s, '^(?:import|from [.\w]+ import)\s*\(?', ''), '#[^\n]*', '', 'g'), '\)\s*$', '') AS names FROM is1),
+is3 AS (SELECT *, trim(unnest(string_split(names, ',')), ' ' || chr(10) || chr(9)) AS n FROM is2),
+imp AS (SELECT file_no, CASE WHEN is_from THEN length(dots) ELSE 0 END::BIGINT AS level, CASE WHEN is_from THEN nullif(m, '') ELSE regexp_extract(n, '^[\w.]+') END AS module, CASE WHEN is_from THEN regexp_extract(n, '^(?:\w+|\*)') END AS name, CASE WHEN regexp_matches(n, ' as ') THEN regexp_extract(n, ' as (\w+)', 1) WHEN is_from THEN regexp_extract(n, '^(?:\w+|\*)') ELSE regexp_extract(n, '^\w+') END AS alias FROM is3 WHERE n <> '')"""
+_PACKAGES = """pf AS (SELECT DISTINCT file_no, repo_id, regexp_replace(rel_path, '/?[^/]*$', '') AS dir FROM files WHERE rel_path LIKE '%.py'), p AS (SELECT DISTINCT repo_id, regexp_replace(rel_path, '/?[^/]*$', '') AS dir FROM files WHERE regexp_matches(rel_path, '(^|/)__init__\\.py$')),
+ d AS (SELECT *, string_split(dir, '/') AS parts, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS depth FROM pf), u AS (SELECT *, unnest(range(0, depth + 1)) AS ups FROM d), a AS (SELECT *, array_to_string(list_slice(parts, 1, depth - ups), '/') AS anc FROM u),
+ r AS (SELECT a.file_no, a.parts, a.depth, coalesce(min(CASE WHEN p.dir IS NULL THEN a.ups END), a.depth) AS ups FROM a LEFT JOIN p ON p.repo_id = a.repo_id AND p.dir = a.anc GROUP BY a.file_no, a.parts, a.depth),
+ k AS (SELECT file_no, array_to_string(list_slice(parts, 1, depth - ups), '/') AS package_root, CASE WHEN ups = 0 THEN parts[-1] ELSE array_to_string(list_slice(parts, depth - ups + 1, depth), '.') END AS package FROM (SELECT file_no, parts, depth, min(ups) AS ups FROM r GROUP BY file_no, parts, depth))"""
+
 _EDGES = """
 WITH RECURSIVE g AS (SELECT graph_no, any_value(graph) AS graph, any_value(id2type) AS id2type FROM call_graphs GROUP BY graph_no),
 e0 AS (SELECT graph_no, unnest(map_entries(graph)) AS e FROM g),
@@ -225,10 +263,19 @@ _KNOWN = ", k AS (SELECT DISTINCT " + _PARENT.format("callee", 1) + " AS m FROM
 _CODE = "SELECT DISTINCT unit_no, function_code AS c FROM code_functions WHERE function_code IS NOT NULL"
 
 SQL = {
-    "packages": """WITH f AS (SELECT DISTINCT file_no, repo_id, regexp_replace(rel_path, '/?[^/]*$', '') AS dir FROM files WHERE rel_path LIKE '%.py'), p AS (SELECT DISTINCT repo_id, regexp_replace(rel_path, '/?[^/]*$', '') AS dir FROM files WHERE regexp_matches(rel_path, '(^|/)__init__\\.py$')),
- d AS (SELECT *, string_split(dir, '/') AS parts, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS depth FROM f), u AS (SELECT *, unnest(range(0, depth + 1)) AS ups FROM d), a AS (SELECT *, array_to_string(list_slice(parts, 1, depth - ups), '/') AS anc FROM u),
- r AS (SELECT a.file_no, a.parts, a.depth, coalesce(min(CASE WHEN p.dir IS NULL THEN a.ups END), a.depth) AS ups FROM a LEFT JOIN p ON p.repo_id = a.repo_id AND p.dir = a.anc GROUP BY a.file_no, a.parts, a.depth)
- SELECT file_no, array_to_string(list_slice(parts, 1, depth - ups), '/') AS package_root, CASE WHEN ups = 0 THEN parts[-1] ELSE array_to_string(list_slice(parts, depth - ups + 1, depth), '.') END AS package FROM (SELECT file_no, parts, depth, min(ups) AS ups FROM r GROUP BY file_no, parts, depth)""",
+    "packages": "WITH " + _PACKAGES + " SELECT file_no, package_root, package FROM k",
+    "method_imports": "WITH " + _IMPORTS + " SELECT file_no, level, module, name, alias FROM imp",
+    "method_imports_absolute": "WITH " + _IMPORTS + ", " + _PACKAGES + """ SELECT DISTINCT file_no, CASE WHEN level = 0 THEN module ELSE concat_ws('.', nullif(array_to_string(list_slice(string_split(package, '.'), 1, greatest(len(string_split(package, '.')) - level + 1, 0)), '.'), ''), module) END AS module, name, alias FROM imp JOIN k USING (file_no)""",
+    "method_imports_resolved": "WITH " + _IMPORTS + ", " + _PACKAGES + """, i AS (SELECT DISTINCT imp.*, mf.repo_id, regexp_replace(mf.rel_path, '/?[^/]*$', '') AS dir, k.package_root FROM imp JOIN mf USING (file_no) JOIN k USING (file_no)),
+ i2 AS (SELECT *, string_split(dir, '/') AS parts, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS depth, row_number() OVER () AS no FROM i),
+ bs AS (SELECT *, CASE WHEN level > 0 THEN [array_to_string(list_slice(parts, 1, greatest(depth - level + 1, 0)), '/')] ELSE list_concat([package_root], list_transform(range(0, depth + 1), lambda j: array_to_string(list_slice(parts, 1, depth - j), '/'))) END AS bases FROM i2),
+ b1 AS (SELECT *, unnest(bases) AS base, unnest(range(len(bases))) AS prio FROM bs), b2 AS (SELECT *, CASE WHEN base = '' THEN replace(coalesce(module, ''), '.', '/') WHEN coalesce(module, '') = '' THEN base ELSE base || '/' || replace(module, '.', '/') END AS stem FROM b1),
+ b3 AS (SELECT *, CASE WHEN name IS NOT NULL AND name <> '*' THEN CASE WHEN stem = '' THEN name ELSE stem || '/' || name END END AS inside FROM b2),
+ t AS (SELECT no, repo_id, prio, unnest([inside || '.py', inside || '/__init__.py', stem || '.py', CASE WHEN stem = '' THEN '__init__.py' ELSE stem || '/__init__.py' END]) AS target, unnest([0, 1, 2, 3]) AS form FROM b3),
+ known AS (SELECT DISTINCT repo_id, rel_path AS target FROM files), best AS (SELECT no, t.target FROM t JOIN known ON known.repo_id = t.repo_id AND known.target = t.target QUALIFY row_number() OVER (PARTITION BY no ORDER BY prio, form) = 1)
+ SELECT DISTINCT file_no, level, module, name, alias, best.target FROM i2 LEFT JOIN best ON best.no = i2.no""",
+    "method_units": """SELECT DISTINCT repo_id, method_id.identifier AS unit_id, regexp_replace(method_id.identifier, '\\.[^.]*$', '') AS class_id, string_split(method_id.identifier, '.')[-1] AS name,
+ len(list_filter(string_split(method_code, chr(10)), lambda l: starts_with(l, '@')))::BIGINT AS n_decorators FROM code_methods WHERE method_code IS NOT NULL AND NOT regexp_matches(method_code, '(?m)^async def ')""",
     "local_paths": """WITH f AS (SELECT DISTINCT repo_id, rel_path AS path, replace(regexp_replace(regexp_replace(rel_path, '/__init__\\.py$', ''), '\\.py$', ''), '/', '.') AS prefix FROM files),
  b AS (SELECT repo_id, prefix, path FROM f QUALIFY row_number() OVER (PARTITION BY repo_id, prefix ORDER BY length(path), path) = 1), i AS (SELECT DISTINCT repo_id, function_id.identifier AS identifier FROM code_functions WHERE function_id.identifier IS NOT NULL),
  m AS (SELECT i.repo_id, i.identifier, b.path FROM i JOIN b ON b.repo_id = i.repo_id AND (i.identifier = b.prefix OR starts_with(i.identifier, b.prefix || '.')) QUALIFY row_number() OVER (PARTITION BY i.repo_id, i.identifier ORDER BY length(b.prefix) DESC) = 1)
