@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Thresholds per language (extension): characters of a very long line, share of text in
 #: such lines, share of encoded runs, share of lines alike but for numbers, least lines for
 #: that, share of delimited rows, share of digits in data; mean line from which and white
@@ -129,7 +131,7 @@ def origin(files: DataFrame) -> DataFrame:
     Null and blank contents are hand_written unless their directory says otherwise; a null
     path has a null language, for which only notices count. Repeated rows come out once.
     """
-    f = layout(files.select("file_no", "repo_id", "rel_path", "file_content"))
+    f = layout(spread(files.select("file_no", "repo_id", "rel_path", "file_content")))
     over = lambda name: F.coalesce(F.col(name) >= _threshold(name), F.lit(False))
     dense = over("encoded_share") | over("row_share") & (F.col("n_lines") >= 5)
     alike = over("alike_share") & F.coalesce(F.col("n_lines") >= _threshold("alike_lines"), F.lit(False))
