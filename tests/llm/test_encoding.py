@@ -116,3 +116,37 @@ def test_copies_of_one_text_dont_fill_the_sample(spark, corpus):
     finally:
         E.sample_units = real
     assert len(texts) == len(set(texts)) > 40
+
+
+def test_the_margin_is_validated_on_every_clean_sentence(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(s.split(), k=6)) + f" {k}." for k, s in enumerate(rng.choices(SENTENCES[:8], k=2500))]
+    texts += ["Ligne cassée : " + read_as(SENTENCES[4], "utf-8", "cp1252"), "ascii only", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, margin = E.fit(df)
+    units = [u for t in dict.fromkeys(t for t in texts if t and E.is_clean(t)) for u in E.UNIT.findall(t) if not u.isascii()]
+    whole = E.validated_margin(*E.sample_gains(model, list(dict.fromkeys(units))))
+    assert margin == pytest.approx(whole, abs=1e-9) and whole != E.MARGIN
+    # neither copies nor their places count
+    assert E.corpus_margin(df.union(df.limit(900)).repartition(3), model) == margin
+    assert E.corpus_margin(df.limit(0), model) == E.MARGIN
+
+
+def test_contexts_have_the_gains_of_their_sentences(fitted, corpus):
+    units = list(E.clean_units(corpus[:80])) + [f"{a} {b}" for a, b in zip(SENTENCES, SENTENCES[3:])]
+    cut = [E.context(u) for u in units]
+    for whole, short in zip(E.sample_gains(fitted[0], units), E.sample_gains(fitted[0], cut)):
+        assert short == pytest.approx(whole, abs=1e-6)
+    assert sum(map(len, cut)) < sum(map(len, units))
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(9)
+    values = {True: [rng.gauss(0, 4) for _ in range(700)] + [-0.0, 0.0, 1e-300], False: [rng.choice([0.0, 0.5, 2.25, 7.0]) for _ in range(301)]}
+    rows = [(b, int(k), n) for b, xs in values.items() for k, n in zip(E.order_keys(E.np.array(xs)), [1 + i % 3 for i in range(len(xs))])]
+    df = spark.createDataFrame(rows, "broken boolean, key long, n long")
+    for q in (0.0, 0.01, 0.5, 0.99, 1.0):
+        got = E.quantiles(df, {True: q, False: q})
+        for b, xs in values.items():
+            assert got[b] == pytest.approx(E.np.quantile([x for i, x in enumerate(xs) for _ in range(1 + i % 3)], q), abs=1e-12)
+    assert E.quantiles(df.where("broken"), {True: 0.5, False: 0.5}).keys() == {True}
