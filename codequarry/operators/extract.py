@@ -45,6 +45,7 @@ def python_files(files: DataFrame, content: str = "file_content") -> DataFrame:
 
 _TEXT, _LONG = ("string", pa.string()), ("long", pa.int64())
 _NAMES = ("array<string>", pa.list_(pa.string()))
+_OUTLINE = [("idx", *_LONG), ("orig_idx", *_LONG), ("kind", *_TEXT), ("defines", *_NAMES), ("uses", *_NAMES), ("late", "boolean", pa.bool_()), ("is_wildcard", "boolean", pa.bool_())]
 #: What one parse gives: level to the fields of its rows, and the rows of a tree, module and text.
 LEVELS = {
     "units": (FEATURES, lambda tree, module, text: source.units(tree, module)),
@@ -52,9 +53,11 @@ LEVELS = {
     "imports": ([("level", *_LONG), ("module", *_TEXT), ("name", *_TEXT), ("alias", *_TEXT), ("is_top", "boolean", pa.bool_()), ("orig_idx", *_LONG)], lambda tree, module, text: source.imports(tree)),
     "calls": ([("caller", *_TEXT), ("callee", *_TEXT)], lambda tree, module, text: source.calls(tree, module)),
     "statements": (
-        [("idx", *_LONG), ("orig_idx", *_LONG), ("kind", *_TEXT), ("code", *_TEXT), ("defines", *_NAMES), ("uses", *_NAMES), ("late", "boolean", pa.bool_()), ("is_wildcard", "boolean", pa.bool_())],
+        [*_OUTLINE[:3], ("code", *_TEXT), *_OUTLINE[3:]],
         lambda tree, module, text: source.statements(tree, text),
     ),
+    # the statements without their code, for what is written but reads none
+    "outline": (_OUTLINE, lambda tree, module, text: source.statements(tree, None)),
     "blocks": ([("ord", *_LONG), ("name", *_TEXT), ("code", *_TEXT)], lambda tree, module, text: source.blocks(tree, text)),
 }
 #: Column of the parsed levels in what parse_once gives.
@@ -70,13 +73,17 @@ def parse_once(files: DataFrame, *levels: str) -> DataFrame:
     don't parse stay, with null levels. A table that was parsed already passes through.
     """
     if PARSED in files.columns:
-        lacking = [n for n in levels if n not in files.schema[PARSED].dataType.names]
+        lacking = [n for n in levels if n not in _held(files) and not (n == "outline" and "statements" in _held(files))]
         if lacking:
             raise ValueError(f"parse {lacking} too")
         return files
     return cut_lineage(_parsed(files, levels))
 
 
+def _held(files: DataFrame) -> list[str]:
+    return files.schema[PARSED].dataType.names if PARSED in files.columns else []
+
+
 def _parsed(files: DataFrame, levels: tuple[str, ...]) -> DataFrame:
     kinds = [pa.list_(pa.struct([(n, t) for n, _, t in LEVELS[x][0]])) for x in levels]
     whole = pa.struct(list(zip(levels, kinds)))
@@ -139,6 +146,11 @@ def statements(files: DataFrame) -> DataFrame:
     return level(files, "statements")
 
 
+def outline(files: DataFrame) -> DataFrame:
+    """statements without code."""
+    return level(files, "statements").drop("code") if "statements" in _held(files) else level(files, "outline")
+
+
 def blocks(files: DataFrame) -> DataFrame:
     """KEYS, ord, name, code of the top-level statements."""
     return level(files, "blocks")

@@ -58,20 +58,25 @@ def resolved(files: DataFrame) -> DataFrame:
     files = extract.parse_once(files, "imports")
     rows = extract.imports(files).join(packages(files), "file_no")
     # the target depends on these alone; a generated row number could differ when a lost partition is computed again
-    row = F.concat_ws("\x1f", "file_no", "level", F.coalesce("module", F.lit("\x00")), F.coalesce("name", F.lit("\x00")))
-    rows = rows.withColumn("row", row).withColumn("dir", directory(F.col("rel_path")))
+    rows = rows.withColumn("row", F.concat_ws("\x1f", "file_no", "level", F.coalesce("module", F.lit("\x00")), F.coalesce("name", F.lit("\x00")))).withColumn("dir", directory(F.col("rel_path")))
     parts = F.split("dir", "/")
     depth = F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(parts))
     module = F.replace(F.coalesce("module", F.lit("")), F.lit("."), F.lit("/"))
     ancestors = F.transform(F.sequence(F.lit(0), depth), lambda k: F.array_join(F.slice(parts, 1, depth - k), "/"))
     up = F.array_join(F.slice(parts, 1, F.greatest(depth - F.col("level").cast("int") + 1, F.lit(0))), "/")
     bases = F.when(F.col("level") > 0, F.array(up)).otherwise(F.concat(F.array("package_root"), ancestors))
-    base = rows.select("*", F.posexplode(bases).alias("prio", "base"))
+    known = files.select("repo_id", F.col("rel_path").alias("target")).distinct()
+    # most imports are of libraries: candidates are made only where some file has the last name of one
+    last = known.select("repo_id", F.explode(F.array(F.regexp_extract("target", r"([^/]*)\.py$", 1), F.regexp_extract("target", r"([^/]*)/__init__\.py$", 1))).alias("last")).distinct()
+    lean = rows.select("row", "repo_id", "package_root", "dir", "level", "module", "name")
+    bare = F.coalesce("module", F.lit("")) == ""  # the base itself
+    likely = lean.where(~bare).select("*", F.explode(F.array_compact(F.array("name", F.element_at(F.split("module", r"\."), -1)))).alias("last"))
+    lean = lean.where(bare).unionByName(likely.join(last, ["repo_id", "last"], "left_semi").drop("last"))
+    base = lean.select("*", F.posexplode(bases).alias("prio", "base"))
     stem = _join_path(F.col("base"), module)
     inner = F.when(F.col("name").isNotNull() & (F.col("name") != "*"), _join_path(stem, F.col("name")))
     forms = F.array(F.concat(inner, F.lit(".py")), F.concat(inner, F.lit("/__init__.py")), F.concat(stem, F.lit(".py")), _join_path(stem, F.lit("__init__.py")))
     tries = base.select("row", "repo_id", "prio", F.posexplode(forms).alias("form", "target")).where("target is not null")
-    known = files.select("repo_id", F.col("rel_path").alias("target")).distinct()
     best = tries.join(known, ["repo_id", "target"]).groupBy("row").agg(F.min_by("target", F.struct("prio", "form")).alias("target"))
     out = rows.join(best, "row", "left")
     return out.select("file_no", "repo_id", "rel_path", "module_id", "level", "module", "name", "alias", "is_top", "orig_idx", "target")

@@ -8,7 +8,10 @@ they resolve to. Reachability is a semi-naive loop over the edge table.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from . import extract, imports
 
 #: Fronts of a search that are kept apart before they are written as one.
 MANY_FRONTS = 8
+#: Ranked statements that leave a worker as one batch.
+RANKED_ROWS = 10_000
 
 
 def last_before(uses: DataFrame, defs: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -43,8 +48,8 @@ def edges(files: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     imported; imports inside a definition are needed by it. calls (repo_id, caller,
     callee: unit ids, as file_calls gives them) adds what definitions call.
     """
-    files = extract.parse_once(files, "statements", "imports")
-    s = extract.statements(files).select("file_no", "repo_id", "rel_path", "module_id", "idx", "orig_idx", "kind", "defines", "uses", "late", "is_wildcard")
+    files = extract.parse_once(files, "outline", "imports")
+    s = extract.outline(files).select("file_no", "repo_id", "rel_path", "module_id", "idx", "orig_idx", "kind", "defines", "uses", "late", "is_wildcard")
     defs = s.select("repo_id", "rel_path", "idx", F.explode("defines").alias("symbol"))
     uses = s.select("repo_id", "rel_path", "idx", "late", F.explode("uses").alias("symbol"))
     keys = ["repo_id", "rel_path", "symbol"]
@@ -106,55 +111,74 @@ def slices(edge_table: DataFrame, seeds: DataFrame, depth: int | None = None) ->
 
 def unit_seeds(files: DataFrame) -> DataFrame:
     """root_id, repo_id, path, idx: the statement that defines each unit (methods by their class)."""
-    s = extract.statements(files).where("kind in ('FunctionDef', 'AsyncFunctionDef', 'ClassDef')")
+    s = extract.outline(files).where("kind in ('FunctionDef', 'AsyncFunctionDef', 'ClassDef')")
     return s.select(F.concat_ws(".", "module_id", F.get("defines", F.lit(0))).alias("root_id"), "repo_id", F.col("rel_path").alias("path"), "idx")
 
 
+def _ranks(needs: dict) -> dict:
+    """Node to its place when what a node needs goes first, from the smallest node on."""
+    rank: dict = {}
+    busy: set = set()
+    for start in sorted(needs):
+        if start in rank:
+            continue
+        busy.add(start)
+        work = [(start, iter(sorted(needs[start])))]
+        while work:
+            node, todo = work[-1]
+            nxt = next((x for x in todo if x in needs and x not in rank and x not in busy), None)
+            if nxt is not None:
+                busy.add(nxt)
+                work.append((nxt, iter(sorted(needs[nxt]))))
+            else:
+                rank[node] = len(rank)
+                work.pop()
+    return rank
+
+
+def _ranked(rows: list[tuple]) -> list[tuple]:
+    """path, idx, rank, file_rank of one slice from its path, idx, dst_path, dst_idx."""
+    needs: dict[tuple, set] = {}
+    of_files: dict[str, set] = {}
+    for p, i, q, j in rows:
+        own = needs.setdefault((p, i), set())
+        files = of_files.setdefault(p, set())
+        if q is not None and j is not None:
+            own.add((q, j))
+            if q != p:
+                files.add(q)
+    whole = _ranks(of_files)
+    return [(p, i, r, whole[p]) for (p, i), r in _ranks(needs).items()]
+
+
 def topological(edge_table: DataFrame, slice_rows: DataFrame) -> DataFrame:
     """slice_rows with rank and file_rank: dependencies before what needs them, of statements and of
     files, ties by path and index; links that close a cycle don't count.
 
-    Each root's slice is one group; a slice is bounded by the statements of its repository.
+    The slices of a partition pass through one Arrow stream in the order of their roots, as
+    most hold a statement or two; one at a time is held, bounded by its repository's statements.
     """
-    import pandas as pd
-
     e = edge_table.select("repo_id", F.col("src_path").alias("path"), F.col("src_idx").alias("idx"), "dst_path", "dst_idx")
-    joined = slice_rows.join(e, ["repo_id", "path", "idx"], "left")
-
-    def ranks(needs: dict) -> dict:
-        rank: dict = {}
-        busy: set = set()
-        for start in sorted(needs):
-            if start in rank:
-                continue
-            busy.add(start)
-            work = [(start, iter(sorted(needs[start])))]
-            while work:
-                node, todo = work[-1]
-                nxt = next((x for x in todo if x in needs and x not in rank and x not in busy), None)
-                if nxt is not None:
-                    busy.add(nxt)
-                    work.append((nxt, iter(sorted(needs[nxt]))))
-                else:
-                    rank[node] = len(rank)
-                    work.pop()
-        return rank
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        needs: dict[tuple, set] = {}
-        of_files: dict[str, set] = {}
-        for p, i, q, j in zip(pdf["path"], pdf["idx"], pdf["dst_path"], pdf["dst_idx"]):
-            needs.setdefault((p, int(i)), set())
-            of_files.setdefault(p, set())
-            if q is not None and not pd.isna(j):
-                needs[p, int(i)].add((q, int(j)))
-                if q != p:
-                    of_files[p].add(q)
-        whole = ranks(of_files)
-        rows = [(pdf["root_id"].iloc[0], pdf["repo_id"].iloc[0], p, i, r, whole[p]) for (p, i), r in ranks(needs).items()]
-        return pd.DataFrame(rows, columns=["root_id", "repo_id", "path", "idx", "rank", "file_rank"])
-
-    return joined.groupBy("repo_id", "root_id").applyInPandas(order, "root_id string, repo_id string, path string, idx long, rank long, file_rank long")
+    joined = slice_rows.select("repo_id", "root_id", "path", "idx").join(e, ["repo_id", "path", "idx"], "left")
+    kinds = [("root_id", pa.string()), ("repo_id", pa.string()), ("path", pa.string()), ("idx", pa.int64()), ("rank", pa.int64()), ("file_rank", pa.int64())]
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        out: list[tuple] = []
+        for (repo, root), group in groupby(rows(), itemgetter(0, 1)):
+            out += ((root, repo, *x) for x in _ranked([r[2:] for r in group]))
+            if len(out) >= RANKED_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out), kinds)], schema=pa.schema(kinds))
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out), kinds)], schema=pa.schema(kinds))
+
+    keys = ["repo_id", "root_id"]
+    stream = joined.select(*keys, "path", F.col("idx").cast("long").alias("idx"), "dst_path", F.col("dst_idx").cast("long").alias("dst_idx")).repartition(*keys).sortWithinPartitions(*keys)
+    return stream.mapInArrow(run, "root_id string, repo_id string, path string, idx long, rank long, file_rank long")
 
 
 def unparsed(files: DataFrame, slice_rows: DataFrame, style: str = "markdown") -> DataFrame:

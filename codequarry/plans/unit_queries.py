@@ -164,12 +164,12 @@ def id_types(s, d):
 
 
 def slices(s, d):
-    f = extract.parse_once(_files(s, d), "statements", "imports")
+    f = extract.parse_once(_files(s, d), "outline", "imports")
     return slicing.slices(slicing.edges(f), slicing.unit_seeds(f))
 
 
 def slice_ranks(s, d):
-    f = extract.parse_once(_files(s, d), "statements", "imports")
+    f = extract.parse_once(_files(s, d), "outline", "imports")
     e = cut_lineage(slicing.edges(f))
     return slicing.topological(e, slicing.slices(e, slicing.unit_seeds(f)))
 

@@ -360,3 +360,44 @@ def test_failed_tests_are_cut(spark):
     fails = spark.createDataFrame([(1, 0, "t", "test_a"), (2, 0, "t", "test_a"), (3, 0, "t", None)], "fut_no long, round_no long, test_id string, test string")
     got = {r.fut_no: r.code for r in feedback.without_failures(tests, fails).collect()}
     assert "test_a" not in got[1] and "test_b" in got[1] and got[2] == "def (" and got[3] is None
+
+
+def test_many_slices_are_ranked_in_one_stream(spark):
+    # one Python call a root took most of slice_ranks, as most slices hold one statement
+    e = spark.createDataFrame([("r", "b.py", 1, "b.py", 0, "x"), ("r", "b.py", 1, "b.py", 0, "y"), ("r", "b.py", 0, "b.py", 1, "z"), ("r", "b.py", 1, "c.py", 0, "w"), ("r", "b.py", 1, "d.py", 9, "v")], "repo_id string, src_path string, src_idx long, dst_path string, dst_idx long, symbol string")
+    schema = "root_id string, repo_id string, path string, idx long"
+    one = spark.range(3000).selectExpr("concat('m', id) root_id", "cast(if(id % 7 = 0, null, id % 5) as string) repo_id", "'a.py' path", "id idx")
+    more = spark.createDataFrame([("b.f", r, p, i) for r in ("r", "q") for p, i in (("b.py", 0), ("b.py", 1), ("c.py", 0))] + [("b.g", "r", "b.py", 1)], schema)
+    every = one.union(more)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # slices go on in the next batch
+    try:
+        out = slicing.topological(e, every)
+        got = {(r.root_id, r.repo_id, r.path, r.idx): (r["rank"], r.file_rank) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) == 3007 and set(got.values()) <= {(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (0, 1), (1, 2)}
+    assert {got[f"m{k}", None if k % 7 == 0 else str(k % 5), "a.py", k] for k in range(3000)} == {(0, 0)}
+    # b.py 0 needs b.py 1, which needs c.py 0; back to b.py 0 closes a cycle
+    assert (got["b.f", "r", "c.py", 0], got["b.f", "r", "b.py", 1], got["b.f", "r", "b.py", 0]) == ((0, 0), (1, 1), (2, 1))
+    assert (got["b.f", "q", "b.py", 0], got["b.f", "q", "b.py", 1], got["b.f", "q", "c.py", 0]) == ((0, 0), (1, 0), (2, 1))
+    assert got["b.g", "r", "b.py", 1] == (0, 0)
+
+
+def test_slices_need_no_code_in_what_is_written(spark):
+    files = spark.createDataFrame([(1, "r", "a.py", "import os\nX = 1\ndef f():\n    return X, os\n")], "file_no long, repo_id string, rel_path string, file_content string")
+    lean, full = extract.parse_once(files, "outline", "imports"), extract.parse_once(files, "statements", "imports")
+    assert "code" not in lean.schema.simpleString()
+    assert extract.outline(lean).exceptAll(extract.outline(full)).isEmpty() and extract.outline(full).columns == extract.outline(lean).columns
+    assert {tuple(r) for r in slicing.edges(lean).collect()} == {tuple(r) for r in slicing.edges(full).collect()} != set()
+    with pytest.raises(ValueError):
+        extract.parse_once(lean, "statements")
+
+
+def test_imports_resolve_by_any_last_name(spark):
+    texts = {"p/__init__.py": "from . import a\n", "p/a.py": "from p import __init__\nimport p.__init__\nimport os\n", "top.py": "import p\nfrom p.a import *\nfrom p import zzz\n"}
+    rows = [(k, "r", p, t) for k, (p, t) in enumerate(texts.items())] + [(9, "q", "x.py", "import p\n")]
+    files = spark.createDataFrame(rows, "file_no long, repo_id string, rel_path string, file_content string")
+    got = {(r.file_no, r.module, r.name): r.target for r in imports.resolved(files).collect()}
+    package = "p/__init__.py"
+    assert got == {(0, None, "a"): "p/a.py", (1, "p", "__init__"): package, (1, "p.__init__", None): package, (1, "os", None): None, (2, "p", None): package, (2, "p.a", "*"): "p/a.py", (2, "p", "zzz"): package, (9, "p", None): None}
